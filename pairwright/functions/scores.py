@@ -10,8 +10,13 @@ from .. import lexicon as lx
 from .columns import col
 
 
+#: Sums of decimal products carry binary noise around 1e-16; a nudge far above it
+#: and far below the last kept digit makes ties round up whatever the summation order.
+TIE_NUDGE = 1e-9
+
+
 def round4(c: Column) -> Column:
-    return F.round(c, 4)
+    return F.round(c + TIE_NUDGE, 4)
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -14,8 +14,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Ids per leaf: bounds the rows one task orders at the finest level.
-ID_BLOCK = 65_536
+#: Id ranges that close the order: at most 65,536 ids per leaf and, for ids below
+#: 2**48, at most 65,536 ranges per level.
+ID_RANGES = {"_range32": 32, "_range16": 16}
 
 Level = tuple[str, str]
 
@@ -33,25 +34,30 @@ def running_totals(
     ``leaf`` has one row per ``keys`` + level values, none of them NULL.
     """
     names = [name for name, _ in levels]
-    total = {s: F.lit(0) for s in sums}
-    out = leaf
-    for depth in range(len(levels), 0, -1):
-        parent = [*keys, *names[: depth - 1]]
-        path = [*parent, names[depth - 1]]
-        aggregated = leaf.groupBy(*path).agg(*[F.sum(s).alias(s) for s in sums])
+    tables = [leaf]
+    for depth in range(len(levels) - 1, 0, -1):
+        path = [*keys, *names[:depth]]
+        tables.insert(0, tables[0].groupBy(*path).agg(*[F.sum(s).alias(s) for s in sums]))
+    out = None
+    for depth, table in enumerate(tables):
+        parent = [*keys, *names[:depth]]
+        # Only the first level of an ungrouped order has no parent: one row per
+        # distinct value of that level.
         window = (
             (Window.partitionBy(*parent) if parent else Window.partitionBy())
-            .orderBy(_order(levels[depth - 1]))
+            .orderBy(_order(levels[depth]))
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        step = aggregated.select(
-            *path,
-            *[F.coalesce(F.sum(s).over(window), F.lit(0)).alias(f"_{s}_{depth}") for s in sums],
+        step = table.withColumns(
+            {f"before_{s}": F.coalesce(F.sum(s).over(window), F.lit(0)) for s in sums}
         )
-        out = out.join(step, path)
-        total = {s: total[s] + F.col(f"_{s}_{depth}") for s in sums}
-    drop = [f"_{s}_{d}" for s in sums for d in range(1, len(levels) + 1)]
-    return out.withColumns({f"before_{s}": total[s] for s in sums}).drop(*drop)
+        if out is not None:
+            above = out.select(*parent, *[F.col(f"before_{s}").alias(f"_up_{s}") for s in sums])
+            step = step.join(above, parent).withColumns(
+                {f"before_{s}": F.col(f"before_{s}") + F.col(f"_up_{s}") for s in sums}
+            ).drop(*[f"_up_{s}" for s in sums])
+        out = step
+    return out
 
 
 def ranked(
@@ -63,19 +69,21 @@ def ranked(
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, ties broken by ascending id.
 
-    One shuffle of the data on (keys, levels, id block); no partition of it holds
-    more than ``ID_BLOCK`` rows of one group and one level value.
+    One shuffle of the data on (keys, levels, id range); no task orders more than
+    65,536 ids of one group and one level value.
     """
-    names = [name for name, _ in levels]
-    keyed = df.withColumn("_block", F.floor(F.col(id_column) / ID_BLOCK))
-    leaf_keys = [*keys, *names, "_block"]
+    keyed = df.withColumns(
+        {name: F.shiftright(F.col(id_column), bits) for name, bits in ID_RANGES.items()}
+    )
+    leaf_keys = [*keys, *[name for name, _ in levels], *ID_RANGES]
     leaf = keyed.groupBy(*leaf_keys).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running_totals(leaf, keys, [*levels, ("_block", "asc")], ["_n"]).drop("_n")
+    order = [*levels, *[(name, "asc") for name in ID_RANGES]]
+    offsets = running_totals(leaf, keys, order, ["_n"]).drop("_n")
     within = Window.partitionBy(*leaf_keys).orderBy(id_column)
     return (
         keyed.join(offsets, leaf_keys)
         .withColumn(out, (F.col("before__n") + F.row_number().over(within)).cast("bigint"))
-        .drop("_block", "before__n")
+        .drop(*ID_RANGES, "before__n")
     )
 
 
