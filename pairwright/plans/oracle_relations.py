@@ -94,19 +94,27 @@ jobs AS MATERIALIZED (
 PAIRS = """
 apps AS MATERIALIZED (SELECT DISTINCT l_suppkey AS job_id, o_custkey AS candidate_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-vec AS MATERIALIZED (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+comp AS MATERIALIZED (
+  SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+  FROM embeddings),
+norms AS MATERIALIZED (SELECT vec_id, sqrt(sum(x * x)) AS length FROM comp GROUP BY vec_id),
+keyed AS MATERIALIZED (
+  SELECT a.job_id, a.candidate_id, a.job_id % (SELECT count(*) FROM embeddings) AS job_vec,
+    a.candidate_id % (SELECT count(*) FROM embeddings) AS candidate_vec
+  FROM apps a JOIN cands c ON c.candidate_id = a.candidate_id
+  WHERE NOT c.is_deleted AND c.is_parsed),
+dots AS MATERIALIZED (
+  SELECT k.job_vec, k.candidate_vec, sum(a.x * b.x) AS dot
+  FROM (SELECT DISTINCT job_vec, candidate_vec FROM keyed) k
+  JOIN comp a ON a.vec_id = k.job_vec JOIN comp b ON b.vec_id = k.candidate_vec AND b.i = a.i
+  GROUP BY k.job_vec, k.candidate_vec),
 pairs AS MATERIALIZED (
-  SELECT a.job_id, a.candidate_id,
-    CASE WHEN a.candidate_id % 17 <> 0 THEN
-      greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE),
-        list_inner_product(jv.e, cv.e)
-          / (sqrt(list_inner_product(jv.e, jv.e)) * sqrt(list_inner_product(cv.e, cv.e)))))
+  SELECT k.job_id, k.candidate_id,
+    CASE WHEN k.candidate_id % 17 <> 0 THEN
+      greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), d.dot / (jn.length * cn.length)))
     END AS cosine
-  FROM apps a JOIN cands c ON c.candidate_id = a.candidate_id
-  JOIN vec jv ON jv.vec_id = a.job_id % (SELECT count(*) FROM embeddings)
-  JOIN vec cv ON cv.vec_id = a.candidate_id % (SELECT count(*) FROM embeddings)
-  WHERE NOT c.is_deleted AND c.is_parsed)"""
+  FROM keyed k JOIN dots d ON d.job_vec = k.job_vec AND d.candidate_vec = k.candidate_vec
+  JOIN norms jn ON jn.vec_id = k.job_vec JOIN norms cn ON cn.vec_id = k.candidate_vec)"""
 
 REQUIREMENT_MATCHES = f"""
 req_matches AS MATERIALIZED (

@@ -537,11 +537,12 @@ def top_skills(spark, d):
 
 @query(o.with_matches(
     """SELECT r.job_id, r.term AS skill, count(*) AS missing_count
-    FROM req_matches r JOIN (SELECT job_id, candidate_id FROM matches
-      ORDER BY overall_score DESC, job_id, candidate_id LIMIT 200) b
-      ON b.job_id = r.job_id AND b.candidate_id = r.candidate_id
-    WHERE importance = 'required' AND status = 'missing'
-    GROUP BY r.job_id, r.term ORDER BY missing_count DESC, job_id, skill LIMIT 15"""))
+    FROM req_matches r JOIN best b ON b.job_id = r.job_id AND b.candidate_id = r.candidate_id
+    WHERE importance = 'required' AND status = 'missing' AND b.rn <= 200
+    GROUP BY r.job_id, r.term ORDER BY missing_count DESC, job_id, skill LIMIT 15""",
+    """
+best AS MATERIALIZED (SELECT job_id, candidate_id,
+    row_number() OVER (ORDER BY overall_score DESC, job_id, candidate_id) AS rn FROM matches)"""))
 def most_missing_skills(spark, d):
     return dash.most_missing_skills(t.scored(spark, d), t.candidates(spark, d))
 
