@@ -267,3 +267,105 @@ def scored(spark, d, weights=None) -> DataFrame:
 
 def match_results(spark, d) -> DataFrame:
     return m.match_results(scored(spark, d))
+
+
+# -- documents ----------------------------------------------------------------
+#: Month that open-ended ranges of the derived documents end in (2002-01).
+AS_OF = 2002 * 12 + 1
+TITLES = {
+    "1-URGENT": "Data Engineer", "2-HIGH": "Software Developer", "3-MEDIUM": "Sales Manager",
+    "4-NOT SPECIFIED": "Machine Learning Scientist", "5-LOW": "Office Coordinator",
+}
+CITIES = {"F": "Lyon, France", "O": "Osaka, Japan", "P": "Lagos, Nigeria"}
+STUDIES = {0: "B.S. Computer Science", 1: "M.S. Data Science", 2: "MBA"}
+
+
+def resumes(spark, d) -> DataFrame:
+    """One resume text per order: its dates, customer and brands as a reader would write them."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda c: c.cast("string")
+    start = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    end = F.add_months(start, (key % 17).cast("int"))
+    kind = key % 4
+    span = (
+        F.when(kind == 0, F.concat(F.date_format(start, "MMM yyyy"), F.lit(" - "), F.date_format(end, "MMM yyyy")))
+        .when(kind == 1, F.concat(text(F.year(start)), F.lit(" - "), text(F.year(end))))
+        .when(kind == 2, F.concat(F.date_format(start, "MMMM yyyy"), F.lit(" - Present")))
+        .otherwise(F.concat(F.date_format(start, "yyyy/MM"), F.lit(" to "), F.date_format(end, "yyyy/MM")))
+    )
+    title = _case("o_orderpriority", TITLES)
+    city = _case("o_orderstatus", CITIES)
+    orders = table(spark, d, "orders").withColumn("_study", key % 3)
+    customer = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    first = 1985 + key % 5
+    lines = [
+        F.concat(F.initcap("c_mktsegment"), F.lit(" "), F.substring_index(city, ",", 1)),
+        title,
+        F.concat(F.lit("c"), text(cust), F.lit("@mail.example | +1 415 555 "), text(1000 + key % 9000), F.lit(" | "), city),
+        F.lit(""), F.lit("SUMMARY"),
+        F.concat(F.lit("Handled order "), text(key), F.lit(" with care.")),
+        F.lit("EXPERIENCE"),
+        F.concat(title, F.lit(", Acme Works, "), span),
+        F.concat(F.lit("- Shipped order "), text(key)),
+        F.concat(F.lit("Intern, Beta Labs, "), text(first), F.lit(" - "), text(first + 1)),
+        F.lit("EDUCATION"),
+        F.concat(_case("_study", STUDIES), F.lit(", University of Testing, "), text(1980 + cust % 15)),
+        F.lit("SKILLS"),
+        F.concat(F.lit("Brand#"), text(key % 25 + 1), F.lit(", Brand#"), text(cust % 25 + 1), F.lit(" (3 years)")),
+        F.lit("CERTIFICATIONS"), F.lit("Databricks Certified Engineer"),
+    ]
+    return orders.join(customer, cust == F.col("c_custkey")).select(
+        key.alias("doc_id"), F.concat_ws("\n", *lines).alias("text")
+    )
+
+
+def job_texts(spark, d) -> DataFrame:
+    """One job description per supplier, listing its ranked brands."""
+    years = F.col("job_id") % 9 + 1
+    lines = [
+        F.lit("Platform Engineer"),
+        F.concat(F.lit("Department: "), F.col("department")),
+        F.concat(F.lit("Location: "), F.col("location")),
+        F.lit("REQUIRED SKILLS"), F.array_join("required_skills", ", "),
+        F.lit("PREFERRED SKILLS"), F.array_join("preferred_skills", ", "),
+        F.lit("REQUIREMENTS"),
+        F.concat(F.lit("- "), years.cast("string"), F.lit("+ years of experience.")),
+        F.lit("- Master's degree in Physics"),
+        F.lit("RESPONSIBILITIES"), F.concat(F.lit("- Run "), F.col("title")),
+    ]
+    return jobs(spark, d).select("job_id", F.concat_ws("\n", *lines).alias("text"))
+
+
+def stored_files(spark, d) -> DataFrame:
+    """A file relation: one stored document per order, foldered by month."""
+    ext = _case("o_orderpriority", {"1-URGENT": ".pdf", "2-HIGH": ".DOCX", "3-MEDIUM": ".txt", "4-NOT SPECIFIED": ".exe", "5-LOW": ""})
+    return table(spark, d, "orders").select(
+        F.concat(
+            F.date_format("o_orderdate", "yyyyMM"), F.lit("/doc-"), F.col("o_orderkey").cast("string"), ext
+        ).alias("path"),
+        F.col("o_orderdate").cast("timestamp").alias("modificationTime"),
+        F.floor(F.col("o_totalprice") * 30).cast("bigint").alias("length"),
+    )
+
+
+def document_files(spark, d) -> DataFrame:
+    """The documents as a file relation with binary content."""
+    docs = table(spark, d, "documents")
+    return docs.select(
+        F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"),
+                 F.when(F.col("doc_id") % 10 == 0, ".exe").otherwise(".txt")).alias("path"),
+        F.lit("2024-01-01").cast("timestamp").alias("modificationTime"),
+        F.octet_length("text").cast("bigint").alias("length"),
+        F.encode("text", "UTF-8").alias("content"),
+    )
+
+
+def dictionary(spark, d, size: int = 50) -> DataFrame:
+    """A skill catalogue whose surface forms are the commonest words of ``benchmark``."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")
+    counts = table(spark, d, "benchmark").select(word).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.orderBy(F.col("n").desc(), "w").limit(size)
+    return best.select(
+        F.col("w").alias("normalized_name"), F.col("w").alias("name"), F.lit("other").alias("category"),
+        F.array().cast("array<string>").alias("aliases"),
+    )
