@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WHITESPACE = " \t\n\r\f\x0b"
 
@@ -96,3 +96,22 @@ def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
         )
 
     return let(items, keep)
+
+
+def each(df: DataFrame, keys: Sequence, items: Column, name: str) -> DataFrame:
+    """One row per array element, NULL elements left out.
+
+    An inner ``explode`` of a computed array makes the optimizer add a
+    ``size(...) > 0`` filter below it, which computes the array again; the outer
+    form followed by a filter on the element computes it once.
+    """
+    return df.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def each_with_position(
+    df: DataFrame, keys: Sequence, items: Column, position: str, name: str
+) -> DataFrame:
+    """As :func:`each`, with the 0-based index of the element."""
+    return df.select(*keys, F.posexplode_outer(items).alias(position, name)).where(
+        F.col(position).isNotNull()
+    )

@@ -85,9 +85,9 @@ def human_size(c: Column | str) -> Column:
     kib, mib, gib = 1024.0, 1024.0**2, 1024.0**3
     return (
         F.when(size < kib, F.format_string("%.0f B", size))
-        .when(size < mib, F.format_string("%.1f KB", size / kib))
-        .when(size < gib, F.format_string("%.1f MB", size / mib))
-        .otherwise(F.format_string("%.1f GB", size / gib))
+        .when(size < mib, F.format_string("%.1f KB", F.bround(size / kib, 1)))
+        .when(size < gib, F.format_string("%.1f MB", F.bround(size / mib, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(size / gib, 1)))
     )
 
 

@@ -67,7 +67,8 @@ def normalize_unicode(c: Column | str) -> Column:
     Runs in the JVM through the ICU library on Spark's own class path.
     """
     composed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(c), F.lit(True)
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(col(c), F.lit("")),
+        F.lit(True),
     )
     return F.translate(composed, lx.ZERO_WIDTH, "")
 

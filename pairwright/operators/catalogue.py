@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import lexicon as lx
-from ..functions.columns import distinct_by, let
+from ..functions.columns import distinct_by, each, each_with_position, let
 from ..functions.text import lookup_keys, normalize_text, slugify_unknown
 
 #: Characters a token of matching-form text can hold; punctuation stands alone.
@@ -70,7 +70,7 @@ def resolve_terms(terms: DataFrame, term: str, aliases: DataFrame) -> DataFrame:
     """
     distinct = terms.select(F.col(term).alias("_term")).distinct()
     found = (
-        distinct.select("_term", F.posexplode(lookup_keys("_term")).alias("_try", "alias"))
+        each_with_position(distinct, ["_term"], lookup_keys("_term"), "_try", "alias")
         .join(aliases, "alias")
         .groupBy("_term")
         .agg(F.min_by(F.struct("normalized_name", "category", "name"), "_try").alias("hit"))
@@ -205,12 +205,12 @@ def find_skill_mentions(
         .where(F.length("_text") > 0)
         .withColumn("_longest", longest)
     )
-    pieces = slices.select(
-        *keys, "_longest", F.explode(_line_slices(F.col("_text"), F.col("_longest"))).alias("s")
+    pieces = each(
+        slices, [*keys, "_longest"], _line_slices(F.col("_text"), F.col("_longest")), "s"
     )
-    starts = pieces.select(
-        *keys, F.explode(_starts(F.col("s"), F.col("_longest"))).alias("t")
-    ).select(*keys, "t.*").where("head <> ' ' AND NOT glued")
+    starts = each(pieces, keys, _starts(F.col("s"), F.col("_longest")), "t").select(
+        *keys, "t.*"
+    ).where("head <> ' ' AND NOT glued")
     hits = (
         starts.join(heads, F.col("head") == F.col("_head"))
         .where(
@@ -257,12 +257,9 @@ def _leftmost_longest(hits: DataFrame, keys: list[str]) -> DataFrame:
             h["surface"].alias("surface"), h["normalized_name"].alias("normalized_name"),
         ),
     ).cast(entry)
-    return (
-        runs.groupBy(*keys, "_run")
-        .agg(plain.alias("_hits"))
-        .select(*keys, F.explode(F.aggregate("_hits", F.array().cast(entry), keep)).alias("h"))
-        .select(*keys, "h.*")
-    )
+    packed = runs.groupBy(*keys, "_run").agg(plain.alias("_hits"))
+    kept = F.aggregate("_hits", F.array().cast(entry), keep)
+    return each(packed, keys, kept, "h").select(*keys, "h.*")
 
 
 def ordered_union(first: Column, second: Column) -> Column:

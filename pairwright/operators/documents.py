@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..functions.columns import (
-    any_of, choose, col, contains_any, first_where, group, let, literal_array, not_blank, rstrip,
+    any_of, choose, col, contains_any, each, each_with_position, first_where, group, let, literal_array, not_blank, rstrip,
     strip, strip_chars, words,
 )
 from ..functions.dates import is_role_header
@@ -143,11 +143,11 @@ def split_sentences(
         )
     )
     kept = F.filter(pieces, lambda s: F.length(s) >= min_length)
-    return docs.select(key, F.posexplode(kept).alias("position", "sentence"))
+    return each_with_position(docs, [key], kept, "position", "sentence")
 
 
 def doc_lines(docs: DataFrame, key: str, lines: str = "lines") -> DataFrame:
-    return docs.select(key, F.posexplode(lines).alias("line_no", "line"))
+    return each_with_position(docs, [key], F.col(lines), "line_no", "line")
 
 
 # -- sections -----------------------------------------------------------------
@@ -241,7 +241,9 @@ def sectionise(docs: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def section_rows(docs: DataFrame, key: str) -> DataFrame:
-    return docs.select(key, F.inline("sections")).withColumnRenamed("key", "section")
+    return each(docs, [key], F.col("sections"), "s").select(
+        key, F.col("s.key").alias("section"), "s.heading", "s.start_line", "s.end_line", "s.text"
+    )
 
 
 def section_text(name: str, sections: str = "sections", max_chars: int | None = None) -> Column:

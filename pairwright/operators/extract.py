@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import lexicon as lx
 from ..functions import dates, education
 from ..functions.columns import (
-    any_of, contains_any, first_where, group, let, literal_array, null_if_empty, rstrip, strip,
+    any_of, contains_any, each_with_position, first_where, group, let, literal_array, null_if_empty, rstrip, strip,
     strip_chars, words,
 )
 from ..functions.text import normalize_text, slugify_unknown, snippet, truncate
@@ -175,7 +175,7 @@ def extract_contacts(docs: DataFrame) -> DataFrame:
 def date_ranges(docs: DataFrame, key: str) -> DataFrame:
     """``key, line_no, start, end, is_current, months, raw`` of every dated line."""
     return (
-        docs.select(key, F.posexplode("dated").alias("line_no", "e"))
+        each_with_position(docs, [key], F.col("dated"), "line_no", "e")
         .where(F.col("e.r").isNotNull())
         .select(
             key, "line_no", "e.r.start", "e.r.end", "e.r.is_current",
@@ -542,7 +542,7 @@ def _list_entries(text: Column) -> Column:
 def explicit_skills(docs: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
     """Observations from the skills section."""
     entries = F.filter(_list_entries(d.section_text("skills")), lambda e: is_skill_entry(e["name"]))
-    listed = docs.select(key, F.posexplode(entries).alias("position", "e")).select(
+    listed = each_with_position(docs, [key], entries, "position", "e").select(
         key, "position", F.col("e.name").alias("entry"), F.col("e.years").alias("years_experience")
     )
     return resolve_terms(listed, "entry", aliases).select(
@@ -708,11 +708,11 @@ def certification_names(
         F.transform(_list_entries(section), lambda e: e["name"]),
         lambda n: F.length(n).between(1, 80),
     )
-    by_pattern = docs.select(key, F.posexplode(patterns).alias("o", "name")).select(
+    by_pattern = each_with_position(docs, [key], patterns, "o", "name").select(
         key, F.lit(0).alias("channel"), "o", "name"
     )
     listed = resolve_terms(
-        docs.select(key, F.posexplode(entries).alias("o", "name")), "name", aliases
+        each_with_position(docs, [key], entries, "o", "name"), "name", aliases
     )
     by_entry = listed.where(
         contains_any(normalize_text("name"), lx.CERTIFICATION_MARKERS)
@@ -720,7 +720,7 @@ def certification_names(
     ).select(key, F.lit(1).alias("channel"), "o", "name")
     wanted = aliases.where("category = 'certification'")
     mentions = find_skill_mentions(
-        docs.select(key, F.posexplode(lines).alias("line_no", "line")),
+        each_with_position(docs, [key], F.col(lines), "line_no", "line"),
         [key, "line_no"], "line", aliases,
     ).join(wanted.select("normalized_name", "name").distinct(), "normalized_name")
     by_mention = mentions.select(

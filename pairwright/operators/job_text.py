@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import lexicon as lx
 from ..functions import education
 from ..functions.columns import (
-    contains_any, distinct_by, first_where, group, let, null_if_empty, rstrip, strip,
+    contains_any, distinct_by, each, each_with_position, first_where, group, let, null_if_empty, rstrip, strip,
     strip_chars, words,
 )
 from ..functions.scores import number_text
@@ -134,7 +134,7 @@ def requirement_terms(jobs: DataFrame, key: str, aliases: DataFrame) -> DataFram
     nice = contains_any(text, lx.PREFERRED_MARKERS) & ~contains_any(text, lx.REQUIRED_MARKERS)
     required = F.col("b.bucket") == "required_skills"
     lines = (
-        jobs.select(key, F.explode("blocks").alias("b"))
+        each(jobs, [key], F.col("blocks"), "b")
         .where("b.bucket IN ('required_skills', 'preferred_skills')")
         .select(
             key, F.col("b.i").alias("line_no"), F.col("b.text").alias("line"),
@@ -151,9 +151,8 @@ def requirement_terms(jobs: DataFrame, key: str, aliases: DataFrame) -> DataFram
         )
         .where(F.length("line") <= 400)
     )
-    units = lines.select(
-        key, "line_no",
-        F.posexplode(F.concat(F.array("line"), _chunks(F.col("line")))).alias("unit", "text"),
+    units = each_with_position(
+        lines, [key, "line_no"], F.concat(F.array("line"), _chunks(F.col("line"))), "unit", "text"
     )
     mentions = find_skill_mentions(units, [key, "line_no", "unit"], "text", aliases)
     names = aliases.groupBy("normalized_name").agg(F.min("name").alias("term"))

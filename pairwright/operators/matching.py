@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
-from ..functions.columns import let
+from ..functions.columns import each_with_position, let
 from ..functions.education import degree_rank
 from ..functions.scores import clamp, cosine_of, norm, rescale_similarity, round4
 from ..functions.text import normalize_text, slugify_unknown
@@ -422,9 +422,7 @@ def match_results(scored: DataFrame) -> DataFrame:
 def requirement_matches(scored: DataFrame) -> DataFrame:
     """One row per pair and requirement, in requirement order; a narrow explode."""
     tagged = F.concat("required_matches", "preferred_matches", "certification_matches")
-    return scored.select(
-        "job_id", "candidate_id", F.posexplode(tagged).alias("position", "m")
-    ).select("job_id", "candidate_id", "position", "m.*").withColumn(
+    return each_with_position(scored, ["job_id", "candidate_id"], tagged, "position", "m").select("job_id", "candidate_id", "position", "m.*").withColumn(
         "is_satisfied", F.col("status") == MATCHED
     )
 

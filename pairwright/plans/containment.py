@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import let
+from ..functions.columns import each, let
 
 
 def _pieces(text: Column, lengths: Column) -> Column:
@@ -39,9 +39,6 @@ def containing(
     lengths = needles.agg(
         F.array_sort(F.collect_set(F.length(needle)))
     ).scalar()
-    cut = (
-        texts.select(*keys, F.col(text).alias("_text"))
-        .withColumn("_lengths", lengths)
-        .select(*keys, F.explode(_pieces(F.col("_text"), F.col("_lengths"))).alias("_piece"))
-    )
+    staged = texts.select(*keys, F.col(text).alias("_text")).withColumn("_lengths", lengths)
+    cut = each(staged, keys, _pieces(F.col("_text"), F.col("_lengths")), "_piece")
     return cut.join(needles, cut["_piece"] == needles[needle]).drop("_piece")

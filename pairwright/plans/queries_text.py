@@ -88,12 +88,12 @@ def tolerant_json(spark, d):
     )
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN printf('%.0f B', o_totalprice) WHEN o_totalprice < 1048576 THEN printf('%.1f KB', o_totalprice / 1024)
-    ELSE printf('%.1f MB', o_totalprice / 1048576) END AS size,
+@query("""SELECT o_orderkey, CASE WHEN floor(o_totalprice) < 1024 THEN printf('%.0f B', floor(o_totalprice)) WHEN o_totalprice < 1048576 THEN printf('%.1f KB', floor(o_totalprice) / 1024)
+    ELSE printf('%.1f MB', floor(o_totalprice) / 1048576) END AS size,
   CASE WHEN o_custkey % 45 > 41 THEN 'under 25' WHEN o_custkey % 45 > 34 THEN '25-31' WHEN o_custkey % 45 > 26 THEN '32-39' ELSE '40+' END AS age FROM orders""")
 def display_functions(spark, d):
     return t.table(spark, d, "orders").select(
-        "o_orderkey", scores.human_size("o_totalprice").alias("size"),
+        "o_orderkey", scores.human_size(F.floor("o_totalprice")).alias("size"),
         scores.age_band((1960 + F.col("o_custkey") % 45), 2026).alias("age"),
     )
 
@@ -206,8 +206,11 @@ r AS MATERIALIZED (
       WHEN '4-NOT SPECIFIED' THEN 'Machine Learning Scientist' ELSE 'Office Coordinator' END AS title,
     1985 + o_orderkey % 5 AS first_year
   FROM orders JOIN customer ON c_custkey = o_custkey),
+z AS MATERIALIZED (SELECT * EXCLUDE (e, s), s AS s0,
+    CASE WHEN kind = 3 AND (e - 1) % 12 + 1 >= 10 THEN ((e - 1) // 12) * 12 + 1 ELSE e END AS e0 FROM r),
+r0 AS MATERIALIZED (SELECT *, least(s0, e0) AS s, greatest(s0, e0) AS e FROM z),
 j AS MATERIALIZED (SELECT *, CASE kind WHEN 1 THEN ((s - 1) // 12) * 12 + 1 ELSE s END AS lo,
-    CASE kind WHEN 1 THEN ((e - 1) // 12) * 12 + 12 WHEN 2 THEN 24025 ELSE e END AS hi FROM r)"""
+    CASE kind WHEN 1 THEN ((e - 1) // 12) * 12 + 12 WHEN 2 THEN 24025 ELSE e END AS hi FROM r0)"""
 
 
 def parsed_resumes(spark, d) -> DataFrame:
