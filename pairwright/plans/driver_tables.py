@@ -314,9 +314,19 @@ def resumes(spark, d) -> DataFrame:
         F.concat(F.lit("Brand#"), text(key % 25 + 1), F.lit(", Brand#"), text(cust % 25 + 1), F.lit(" (3 years)")),
         F.lit("CERTIFICATIONS"), F.lit("Databricks Certified Engineer"),
     ]
-    return orders.join(customer, cust == F.col("c_custkey")).select(
+    docs = orders.join(customer, cust == F.col("c_custkey")).select(
         key.alias("doc_id"), F.concat_ws("\n", *lines).alias("text")
     )
+    return spread(docs)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents dealt out by id: parsing is CPU work, and one file block may hold far too much of it."""
+    return docs.repartition("doc_id")
+
+
+def documents(spark, d) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def job_texts(spark, d) -> DataFrame:

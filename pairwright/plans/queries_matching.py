@@ -12,6 +12,7 @@ from ..operators import matching as m
 from ..operators import ranking as rk
 from ..operators import weights as wt
 from ..functions.scores import score_band, score_tone
+from ..session import written
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -249,17 +250,22 @@ def _rank_sql(column: str) -> str:
           ORDER BY {column} DESC, overall_score DESC, candidate_id) AS BIGINT) AS rank FROM matches""")
 
 
+def _stored(spark, d) -> DataFrame:
+    """Scores written once: a ranking reads its input twice, for offsets and for rows."""
+    return written(spark, t.match_results(spark, d).drop("weights"), "matches")
+
+
 @query(_rank_sql("overall_score"))
 def rank_candidates(spark, d):
-    """Full ranking of every job by overall score."""
-    return rk.rank_candidates(t.match_results(spark, d)).select(
+    """Full ranking of every job by overall score, over the stored matches."""
+    return rk.rank_candidates(_stored(spark, d)).select(
         "job_id", "candidate_id", "overall_score", "rank"
     )
 
 
 @query(_rank_sql("experience_score"))
 def rank_candidates_by_experience(spark, d):
-    return rk.rank_candidates(t.match_results(spark, d), "experience").select(
+    return rk.rank_candidates(_stored(spark, d), "experience").select(
         "job_id", "candidate_id", "experience_score", "rank"
     )
 

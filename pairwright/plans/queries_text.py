@@ -113,7 +113,7 @@ def unique_term_lists(spark, d):
 
 # -- documents ----------------------------------------------------------------
 def cleaned(spark, d) -> DataFrame:
-    return dc.clean_lines(t.table(spark, d, "documents").select("doc_id", "text"))
+    return dc.clean_lines(t.documents(spark, d))
 
 
 _BULLETS = "•●▪◦⁃∙·\\-–—>*"
@@ -192,7 +192,7 @@ pattern AS MATERIALIZED (SELECT '\\b(?:' || string_agg(w, '|' ORDER BY length(w)
   SELECT doc_id, surface AS normalized_name, count(*) AS mentions FROM m GROUP BY doc_id, surface""")
 def find_skill_mentions(spark, d):
     """Dictionary mentions in whole documents."""
-    docs = t.table(spark, d, "documents").select("doc_id", "text")
+    docs = t.documents(spark, d)
     hits = cat.find_skill_mentions(docs, ["doc_id"], "text", cat.alias_table(t.dictionary(spark, d)))
     return hits.groupBy("doc_id", "normalized_name").agg(F.count(F.lit(1)).alias("mentions"))
 

@@ -94,9 +94,13 @@ def rate_limit_flags(
 
 def rate_limit_stream(
     events: DataFrame, key: str, at: str, event_id: str, limit: int = lx.RATE_LIMIT,
-    window_seconds: int = lx.RATE_WINDOW_SECONDS,
+    window_seconds: int = lx.RATE_WINDOW_SECONDS, lateness: str = "10 minutes",
 ) -> DataFrame:
-    """The same decision on a stream; the log of each key is kept as state and times out."""
+    """The same decision on a stream; the log of each key is state that expires by event time.
+
+    A task orders the events of one key in one micro-batch, so the source's rate
+    limit (files or offsets per trigger) bounds what it holds.
+    """
     window = window_seconds * _MICROS
 
     def decide(
@@ -106,17 +110,18 @@ def rate_limit_stream(
             state.remove()
             return
         log = deque(state.get[0]) if state.exists else deque()
-        # A micro-batch of one key is ordered here; earlier batches are in the log.
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         decided = [_decide(log, moment, limit, window) for moment in rows["at"].tolist()]
         state.update((list(log),))
-        state.setTimeoutDuration(window_seconds * 1000)
+        expires = (log[-1] + window) // 1000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield rows[["event_id", "key", "at"]].assign(
             allowed=[ok for ok, _ in decided], retry_after=[wait for _, wait in decided]
         )
 
-    return _events(events, key, at, event_id).groupBy("key").applyInPandasWithState(
-        decide, OUT, "log array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = _events(events, key, at, event_id).withColumn("moment", F.timestamp_micros("at"))
+    return timed.withWatermark("moment", lateness).groupBy("key").applyInPandasWithState(
+        decide, OUT, "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
