@@ -66,7 +66,7 @@ def test_containment_join(spark):
 def test_denied_events_use_no_quota(spark):
     rows = [(i, 1, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate((0, 1, 2, 30, 50))] + [(9, 1, "2024-01-01 00:01:01")]
     events = spark.createDataFrame(rows, "id bigint, u bigint, t string").withColumn("t", F.to_timestamp("t"))
-    got = [r["allowed"] for r in rate_limit_flags(events, "u", "t", "id", 2, 60).orderBy("id").collect()]
+    got = [r["allowed"] for r in rate_limit_flags(events, "u", "t", "id", 2, 60).orderBy("event_id").collect()]
     assert got == [True, True, False, False, False, True]
 
 
