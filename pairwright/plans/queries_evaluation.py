@@ -9,6 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import learn
 from ..operators import vectors as vc
+from ..session import written
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -249,11 +250,12 @@ _MODEL_COLUMNS = [f"{c}_score" for c in lx.COMPONENTS]
 
 
 def _trainable(spark, d) -> DataFrame:
-    """Scores with a label the scores can explain."""
-    return t.match_results(spark, d).select(
+    """Scores with a label the scores can explain, written once for the passes of a fit."""
+    rows = t.match_results(spark, d).select(
         "job_id", "candidate_id", *_MODEL_COLUMNS,
         (F.col("required_skills_score") + F.col("semantic_score") + F.col("candidate_id") % 7 / 20 > 0.6).cast("int").alias("label"),
     )
+    return written(spark, rows, "training")
 
 
 def out_of_fold_predictions(spark, d):
