@@ -176,7 +176,7 @@ def find_candidates_by_name(spark, d):
 # -- questions ----------------------------------------------------------------
 _TEXTS = (
     "Show the top candidates for {}", "Who is missing skills for {}?", "Which are shortlisted for {}",
-    "compare Customer#000000007 and Customer#000000011 for {}", "who is 'Customer#000000012'",
+    "compare Customer#000000007 and Customer#000000011", "who is 'Customer#000000012'",
     "Summarise the job {}", "How many people are there",
 )
 
@@ -201,7 +201,7 @@ _QUESTIONS = "questions AS MATERIALIZED (SELECT s_suppkey AS question_id, s_supp
       WHEN 3 THEN 'compare' WHEN 4 THEN 'candidate_detail' WHEN 5 THEN 'job_summary' ELSE 'counts' END AS intent,
     CASE kind WHEN 1 THEN 'required_skills' ELSE 'overall' END AS sort_by,
     CASE kind WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS names,
-    CASE WHEN kind NOT IN (4, 6) AND is_active THEN job_id END AS resolved_job_id
+    CASE WHEN kind NOT IN (3, 4, 6) AND is_active THEN job_id END AS resolved_job_id
   FROM questions JOIN jobs ON job_id = question_id""")
 def read_questions(spark, d):
     read = ai.read_questions(questions(spark, d), t.jobs(spark, d))
