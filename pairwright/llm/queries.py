@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing
+from . import bpe, chat, exact_dedup, packing, warc
+from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives with revisits, and read back."""
+    warc.register(spark)
+    path = shared_folder(spark, "pages-warc")
+    warc.page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").option("payload", "digest").load(path)
+    return read.where(F.col("record_type").isin("response", "revisit")).select(
+        warc.page_id(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id(F.col("refers_to")).alias("refers_to"),
+        "digest_ok",
+        F.col("target_uri").alias("url"),
+    )
+
+
 @query()
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1,024 tokens."""
