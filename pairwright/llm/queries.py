@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, warc
+from . import bpe, chat, exact_dedup, jaccard, near_vectors, packing, warc
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,17 @@ def op8_typed_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document of each group of equal texts stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_sign_hash_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor of every embedding, within its label."""
+    return near_vectors.cosine_components(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query()
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: four-word shingles, similarity of 85 in 100."""
+    return jaccard.jaccard_components(
+        table(spark, sf_dir, "documents"), jaccard.JaccardSpec(words=4, share=85, over=100)
+    )
