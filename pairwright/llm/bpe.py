@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct matches whose ids a worker remembers, and characters up to which one is remembered.
-MEMORY_MATCHES, MEMORY_CHARS = 400_000, 64
+#: Distinct matches whose ids a worker remembers, and bytes up to which one is remembered.
+MEMORY_MATCHES, MEMORY_BYTES = 600_000, 64
 
 
 class ByteBpe:
@@ -25,6 +26,15 @@ class ByteBpe:
         self.matches = regex.compile(pattern)
         self.none = max(self.ranks.values(), default=0) + 1
         self.known: dict[str, list[int]] = {}
+        pairs = {
+            self.ranks[piece[:k]] * self.none + self.ranks[piece[k:]]: i
+            for piece, i in self.ranks.items()
+            for k in range(1, len(piece))
+            if piece[:k] in self.ranks and piece[k:] in self.ranks
+        }
+        self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)] or [0], np.int64)
+        self.byte_ids = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match.
@@ -85,20 +95,94 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the whole text, each match of the pattern by itself."""
-        known, out = self.known, []
-        for word in self.matches.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.merge(word.encode("utf-8"))
-                if len(word) <= MEMORY_CHARS:
-                    if len(known) >= MEMORY_MATCHES:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+    def merge_short(self, pieces: list[bytes]) -> list[list[int]]:
+        """:meth:`merge` for many pieces of at most ``MEMORY_BYTES`` bytes, one segment tree per row.
+
+        Trees of equal width are rows of one array; each round takes every row's root
+        and makes its three point updates, for all rows at once.
+        """
+        out: list[list[int]] = [[]] * len(pieces)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
+        for width in np.unique(widths):
+            chosen = np.flatnonzero(widths == width)
+            for ids, at in zip(self._merge_rows([pieces[i] for i in chosen], int(width)), chosen):
+                out[at] = ids
+        return out
+
+    def _pair_leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        key = left * self.none + right
+        k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        found = there & (self.pair_keys[k] == key)
+        return np.where(found, (self.pair_ranks[k] << 32) + at, self.none << 32)
+
+    def _merge_rows(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        m, none = len(pieces), self.none << 32
+        n = np.array([len(p) for p in pieces], np.int64)
+        text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
+        columns = np.arange(width)
+        ids = np.zeros((m, width + 1), np.int64)
+        ids[:, :width] = self.byte_ids[text]
+        after = np.broadcast_to(columns + 1, (m, width)).copy()
+        before = np.broadcast_to(np.arange(-1, width), (m, width + 1)).copy()
+        tree = np.full((m, 2 * width), none, np.int64)
+        tree[:, width:] = self._pair_leaf(ids[:, :width], ids[:, 1:], columns, columns + 1 < n[:, None])
+        half = width
+        while half > 1:
+            tree[:, half // 2 : half] = np.minimum(tree[:, half : 2 * half : 2], tree[:, half + 1 : 2 * half : 2])
+            half //= 2
+        # flat views: position of a row's cell is its row times the width, plus the column
+        leaf, part, step, back = tree.reshape(-1), ids.reshape(-1), after.reshape(-1), before.reshape(-1)
+        rows = np.flatnonzero(tree[:, 1] < none)
+        while len(rows):
+            at_tree, at_part, at_step = rows * (2 * width), rows * (width + 1), rows * width
+            root = leaf.take(at_tree + 1)
+            i, merged = root & 0xFFFFFFFF, root >> 32
+            gone = step.take(at_step + i)
+            end = step.take(at_step + gone)
+            part[at_part + i] = merged
+            step[at_step + i] = end
+            back[at_part + end] = i
+            left = back.take(at_part + i)
+            has_left = left >= 0
+            left = np.where(has_left, left, gone)
+            k = np.stack([gone, i, left]) + width
+            leaf[at_tree + k[0]] = none
+            leaf[at_tree + k[1]] = self._pair_leaf(merged, part.take(at_part + end), i, end < n[rows])
+            leaf[at_tree + k[2]] = self._pair_leaf(part.take(at_part + left), merged, left, has_left)
+            for _ in range(width.bit_length() - 1):
+                k >>= 1
+                children = at_tree + 2 * k
+                leaf[at_tree + k] = np.minimum(leaf.take(children), leaf.take(children + 1))
+            rows = rows[leaf.take(at_tree + 1) < none]
+        out = []
+        for row, nexts, size in zip(ids.tolist(), after.tolist(), n.tolist()):
+            found, i = [], 0
+            while i < size:
+                found.append(row[i])
+                i = nexts[i]
+            out.append(found)
         return out
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts, each match of the pattern by itself."""
+        known = self.known
+        if len(known) >= MEMORY_MATCHES:
+            known.clear()
+        words = [self.matches.findall(t) for t in texts]
+        parts = [list(map(known.get, ws)) for ws in words]
+        fresh = list({w for ws, ps in zip(words, parts) for w, p in zip(ws, ps) if p is None})
+        data = [w.encode("utf-8") for w in fresh]
+        short = [k for k, b in enumerate(data) if len(b) <= MEMORY_BYTES]
+        found = {fresh[k]: self.merge(b) for k, b in enumerate(data) if len(b) > MEMORY_BYTES}
+        merged = dict(zip([fresh[k] for k in short], self.merge_short([data[k] for k in short])))
+        known.update(merged)
+        found.update(merged)
+        for k, (ws, ps) in enumerate(zip(words, parts)):
+            if None in ps:
+                parts[k] = [found[w] if p is None else p for w, p in zip(ws, ps)]
+        return [list(chain.from_iterable(ps)) for ps in parts]
+
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a sequence of ids."""
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -128,7 +212,7 @@ def encode_documents(
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                ids = [bpe.encode(t) if t else [] for t in part.column(1).to_pylist()]
+                ids = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"]
                 )
