@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, jaccard, near_vectors, packing, warc
+from . import bpe, chat, exact_dedup, html_text, jaccard, near_vectors, packing, surrogates, warc
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,11 @@ def op10_min_cut_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = html_text.extract_main_text(table(spark, sf_dir, "pages"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op3_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"), key="a key of the corpus owner").select(
+        "doc_id", "text", "n_entities"
+    )
