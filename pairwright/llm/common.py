@@ -51,7 +51,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             .select(u.alias("v"), F.least("u", "m").alias("m")),
             "nearest",
         )
-        large = materialize(links.join(nearest, "v").select("u", F.col("m").alias("v")).distinct(), "large")
+        large = materialize(links.join(nearest, "v").select("u", F.col("m").alias("v")), "large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         links = materialize(
             large.join(least, "u").where("v <> m").select(v.alias("u"), F.col("m").alias("v"))

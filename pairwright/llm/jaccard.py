@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
@@ -27,7 +27,7 @@ class JaccardSpec:
     words: int = 5
     share: int = 80
     over: int = 100
-    extra: Fraction = Fraction(1, 20)
+    extra: Fraction = Fraction(3, 20)
     tile: int = 512
 
     def overlap(self, n: int) -> int:
@@ -167,37 +167,36 @@ def signatures(docs: DataFrame, spec: JaccardSpec, id_column: str, text_column:
     ).mapInArrow(run, "doc long, n long, set_a long, set_b long, prefix array<long>")
 
 
-def size_band(spec: JaccardSpec) -> Column:
-    """Band of the set size ``n``; sizes of linked pairs differ by ``over / share`` at most, so by one band."""
-    return F.floor(F.log(F.col("n").cast("double")) / math.log(spec.over / spec.share) + 1e-9)
+def candidate_groups(sets: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """``doc, hub, band``: groups of documents that may link; a linked pair is in one group at least.
 
-
-def candidate_clusters(sets: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """``doc, n, cluster`` of the documents that may link; linked documents are always in one cluster.
-
-    Only shingles that stand in the prefixes of two different sets matter. A document
-    with fewer of them than its size needs has no partner. What is left is tied by a star
-    to the least document per shingle and pair of neighbouring size bands.
+    Only shingles that stand in the prefixes of two different sets matter, and a document
+    that has fewer of them than :meth:`JaccardSpec.needed` of its size has no partner. The
+    documents with a shingle, within two neighbouring size bands, form a star round the
+    least of them, the hub. An edge of a star is weak if few of the document's shingles lead to
+    that hub. Of the shingles that a linked pair shares, either one makes both edges
+    strong, or one of the two documents has half of them on weak edges. So weak edges count only
+    for documents that have that many, which passing likenesses do not.
     """
     tokens = sets.select("doc", "n", "set_a", F.explode("prefix").alias("token"))
     repeated = materialize(
         tokens.groupBy("token").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b")).where("a <> b").select("token"),
         "repeated-shingles",
     )
-    shared = materialize(tokens.select("doc", "n", "token").join(repeated, "token"), "shared-shingles")
+    shared = materialize(tokens.join(repeated, "token").select("doc", "n", "token"), "shared-shingles")
     need = F.least(
         F.greatest(F.lit(1), F.ceil(F.col("n") * spec.extra.numerator / spec.extra.denominator)),
         F.ceil(F.col("n") * spec.share / spec.over),
     )
-    # one less than needed, so that rounding can never lose a document
-    live = (
-        shared.groupBy("doc").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-        .where(F.col("shared") >= F.greatest(F.lit(1), need - 1)).select("doc")
+    # of two linked sets the larger may share one shingle less than it needs
+    live = shared.groupBy("doc").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(
+        F.col("shared") >= F.greatest(F.lit(1), need - 1)
     )
-    band = size_band(spec)
+    copies = sets.groupBy("set_a", "set_b").agg(F.min("doc").alias("doc")).select("doc")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(spec.over / spec.share) + 1e-9)
     banded = materialize(
-        shared.join(live, "doc")
-        .select("doc", "token", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own")),
+        shared.join(live.join(copies, "doc").select("doc"), "doc")
+        .select("doc", "n", "token", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")),
         "banded-shingles",
     )
     hubs = materialize(
@@ -205,25 +204,27 @@ def candidate_clusters(sets: DataFrame, spec: JaccardSpec) -> DataFrame:
         .where("hub <> last and top = band").select("token", "band", "hub"),
         "hubs",
     )
-    stars = banded.join(hubs, ["token", "band"]).where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    clusters = connected_components(stars.distinct()).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    return clusters.join(sets.select("doc", "n"), "doc")
+    edges = (
+        banded.join(hubs, ["token", "band"]).where("doc <> hub")
+        .groupBy("doc", "hub", "band").agg(F.count("*").alias("through"), F.first("n").alias("n"))
+        .withColumn("strong", F.col("through") >= F.greatest(F.lit(2), need / 3))
+        .withColumn("weak", F.sum(F.when(~F.col("strong"), F.col("through"))).over(Window.partitionBy("doc")))
+        .where(F.col("strong") | (2 * F.col("weak") >= need - 1))
+        .select("doc", "hub", "band")
+    )
+    edges = materialize(edges, "edges")
+    return edges.union(edges.select("hub", "hub", "band").distinct())
 
 
-def tiles(clusters: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """``doc, tile, side``: every pair of a cluster whose size bands touch meets in one tile.
+def tiles(groups: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """``doc, tile, side``: every pair of documents of a group meets in one tile.
 
-    The documents of a cluster and two neighbouring bands are dealt into blocks of about
-    ``spec.tile`` rows; each pair of blocks is a tile, so no task holds more than two
-    blocks. ``side`` is 0 for the first block, 1 for the second.
+    A group is dealt into blocks of about ``spec.tile`` documents; each pair of blocks is a
+    tile, so no task holds more than two blocks. ``side`` is 0 for the first block of a
+    tile, 1 for the second, 2 where they are the same.
     """
-    band = size_band(spec)
-    rows = clusters.select("doc", "cluster", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band"))
-    groups = materialize(
-        rows.groupBy("cluster", "band").agg(F.count("*").alias("rows"), F.max("own").alias("top"))
-        .where("rows > 1 and top = band")
-        .select("cluster", "band", F.ceil(F.col("rows") / spec.tile).cast("int").alias("blocks")),
-        "tile-groups",
+    sizes = materialize(
+        groups.groupBy("hub", "band").agg(F.ceil(F.count("*") / spec.tile).cast("int").alias("blocks")), "tile-groups"
     )
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     lower = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
@@ -231,12 +232,12 @@ def tiles(clusters: DataFrame, spec: JaccardSpec) -> DataFrame:
         F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))
     )
     return (
-        rows.join(groups, ["cluster", "band"])
-        .select("doc", "cluster", "band", "blocks", block.alias("block"))
-        .select("doc", "cluster", "band", "block", F.explode(F.array_union(lower, upper)).alias("t"))
+        groups.join(sizes, ["hub", "band"])
+        .select("doc", "hub", "band", "blocks", block.alias("block"))
+        .select("doc", "hub", "band", "block", F.explode(F.array_union(lower, upper)).alias("t"))
         .select(
             "doc",
-            F.concat_ws("/", "cluster", "band", "t.i", "t.j").alias("tile"),
+            F.concat_ws("/", "hub", "band", "t.i", "t.j").alias("tile"),
             F.when(F.col("t.i") == F.col("t.j"), 2).when(F.col("block") == F.col("t.i"), 0).otherwise(1).alias("side"),
         )
     )
@@ -304,7 +305,7 @@ def jaccard_components(
     id stands for them. A null or wordless text has an empty set and links with nothing,
     as does one that shares no shingle. A null id links with nothing and keeps its row;
     an id on several rows is one document whose texts are all compared.
-    Steps: :func:`signatures`, :func:`candidate_clusters`, :func:`tiles`,
+    Steps: :func:`signatures`, :func:`candidate_groups`, :func:`tiles`,
     :func:`verified_links`, connected components. No pairs of a group are emitted.
     """
     rows = materialize(signatures(docs, spec, id_column, text_column), "signatures")
@@ -313,12 +314,7 @@ def jaccard_components(
         .agg(F.min("doc").alias("rep"), F.max("doc").alias("last")),
         "sets",
     )
-    clusters = materialize(
-        candidate_clusters(rows.where("n > 0 and doc is not null"), spec), "clusters"
-    )
-    # of copies only the first document goes on
-    nodes = clusters.join(by_set.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").distinct()
-    tiled = materialize(tiles(nodes, spec), "tiles")
+    tiled = materialize(tiles(candidate_groups(rows.where("n > 0 and doc is not null"), spec), spec), "tiles")
     links = verified_links(docs, tiled, spec, id_column, text_column)
     copies = rows.where("n > 0 and doc is not null").join(by_set.where("rep <> last"), ["set_a", "set_b"])
     spans = links.union(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
