@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, jaccard, near_vectors, packing, surrogates, warc
+from . import bpe, chat, cotraining, exact_dedup, html_text, jaccard, near_vectors, packing, surrogates, warc
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,9 @@ def op3_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_personal_data(table(spark, sf_dir, "documents"), key="a key of the corpus owner").select(
         "doc_id", "text", "n_entities"
     )
+
+
+@query()
+def op6_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from two views taught by the labels and by each other."""
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
