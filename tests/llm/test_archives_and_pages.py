@@ -63,7 +63,7 @@ def test_predicates_reach_the_reader(spark):
     revisits = reader.load(path).where("record_type = 'revisit' and target_uri like 'http://a/%'")
     plan = revisits._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.split("BatchScan")[0], plan
-    assert [r.record_id for r in revisits.collect()] == ["<urn:page:5>"]
+    assert {r.record_id for r in revisits.collect()} == {"<urn:page:5>", "<urn:page:3>"}
     assert reader.load(path).where("content_length > 1000").count() == 1
 
 
