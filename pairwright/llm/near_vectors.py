@@ -17,11 +17,11 @@ from .common import connected_components, materialize
 def hash_plan(vectors: int, cosine: float, recall: float) -> tuple[int, int]:
     """Bits of a key and number of tables for this many vectors.
 
-    Bits grow with the logarithm of the corpus, so that a key holds a few unrelated
-    vectors at every size; tables follow so that a pair exactly at ``cosine`` meets in
-    one of them with probability ``recall`` at least, and closer pairs more surely.
+    Bits grow with the logarithm of the corpus, so that few unrelated vectors share a
+    key at any size; tables follow so that a pair exactly at ``cosine`` meets in one of
+    them with probability ``recall`` at least, and closer pairs more surely.
     """
-    bits = min(24, max(8, math.ceil(math.log2(max(vectors, 1) / 16 + 1))))
+    bits = min(24, max(8, math.ceil(math.log2(max(vectors, 1) + 1))))
     agree = 1 - math.acos(cosine) / math.pi
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits))))
 
@@ -166,37 +166,33 @@ def cosine_components(
         .select("t.tile", "t.table", "t.side", "vec", "weight", "keys", "vector")
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        rows: list[tuple] = []
-
-        def linked() -> pa.RecordBatch:
-            ids = [r[1] for r in rows]
-            x = np.array([r[4] for r in rows], float)
-            x /= np.abs(x).max(1, keepdims=True)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            count, root = tile_neighbours(
-                unit, np.array([r[3] for r in rows]), np.array([r[2] for r in rows]), held[1],
-                np.array([r[0] for r in rows]), cosine,
-            )
-            at = np.flatnonzero((count > 0) | (root != np.arange(len(ids))))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i] for i in at], pa.int64()), pa.array(count[at], pa.int64()),
-                    pa.array([ids[root[i]] for i in at], pa.int64()),
-                ],
-                names=["vec", "links", "hub"],
-            )
+    def linked(rows: pa.RecordBatch) -> pa.RecordBatch:
+        table, side, ids, weight = (rows.column(k).to_numpy() for k in (1, 2, 3, 4))
+        x = rows.column(6).flatten().to_numpy().reshape(len(ids), -1)
+        unit = x / np.abs(x).max(1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        keys = rows.column(5).flatten().to_numpy().reshape(len(ids), -1)
+        count, root = tile_neighbours(unit, keys, weight, int(table[0]), side, cosine)
+        at = np.flatnonzero((count > 0) | (root != np.arange(len(ids))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[at]), pa.array(count[at]), pa.array(ids[root[at]])], names=["vec", "links", "hub"]
+        )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the tile that the next batch may continue, two blocks at most
         for batch in batches:
-            for tile_id, table, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (tile_id, table, len(row[4])) != held:
-                    if len(rows) > 1:
-                        yield linked()
-                    held, rows = (tile_id, table, len(row[4])), []
-                rows.append(tuple(row))
-        if len(rows) > 1:
-            yield linked()
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            lengths = pa.compute.list_value_length(batch.column(6)).to_numpy()
+            marks = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), lengths]
+            starts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            bounds = [0, *starts.tolist()]
+            found = [linked(batch.slice(a, b - a)) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            rest = batch.slice(bounds[-1])
+        if rest is not None and rest.num_rows > 1:
+            yield linked(rest)
 
     found = materialize(
         sent.withColumn("dimension", F.size("vector"))
