@@ -74,7 +74,7 @@ def study_field(c: Column | str) -> Column:
 def degree_phrase(c: Column | str) -> Column:
     """The qualification alone, out of a line that also names a place or a year."""
     head = F.get(F.split(col(c), r"\s*[,;|]\s*|\s+-\s+|\s+at\s+", 2), F.lit(0))
-    return null_if_empty(F.left(strip(head), F.lit(120)))
+    return null_if_empty(strip(head))
 
 
 def institution(c: Column | str) -> Column:
@@ -85,7 +85,7 @@ def institution(c: Column | str) -> Column:
         at = F.instr(text, " at ")
         after = F.substring(text, at + 4, F.length(text))
         named = (at > 0) & (degree_rank(F.left(text, at - 1)) > 0)
-        return null_if_empty(F.left(strip_chars(F.when(named, after).otherwise(text), " ,-–—"), F.lit(200)))
+        return null_if_empty(strip_chars(F.when(named, after).otherwise(text), " ,-–—"))
 
     return F.when(hinted, let(F.regexp_replace(strip(line), lx.LEADING_DEGREE, ""), place))
 

@@ -24,8 +24,8 @@ def sort_hint(c: Column | str) -> Column:
     return F.coalesce(_first_label(col(c), lx.SORT_HINTS), F.lit("overall"))
 
 
-def named_candidates(c: Column | str) -> Column:
-    """Up to two names a question mentions."""
+def named_candidates(c: Column | str, most: int | None = None) -> Column:
+    """Names a question mentions, the first ``most`` of them if given."""
     text = col(c)
 
     def names_after(marker: str):
@@ -34,7 +34,7 @@ def named_candidates(c: Column | str) -> Column:
             tail = F.substring(lowered, at + len(marker), F.length(lowered))
             tail = F.get(F.split(tail, r"\?"), F.lit(0))
             parts = F.transform(F.split(tail, lx.NAME_SPLIT), lambda p: strip_chars(p, " ."))
-            return F.slice(F.filter(parts, lambda p: F.length(p) > 1), 1, 2)
+            return F.filter(parts, lambda p: F.length(p) > 1)
 
         return build
 
@@ -44,6 +44,7 @@ def named_candidates(c: Column | str) -> Column:
             test, value = F.contains(lowered, F.lit(marker)), names_after(marker)(lowered)
             out = F.when(test, value) if out is None else out.when(test, value)
         quoted = F.regexp_extract_all(text, F.lit(lx.QUOTED_NAME), F.lit(1))
-        return out.otherwise(F.slice(quoted, 1, 2))
+        found = out.otherwise(quoted)
+        return found if most is None else F.slice(found, 1, most)
 
     return let(F.lower(text), by_marker)

@@ -2,63 +2,78 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from .. import lexicon as lx
 from .columns import choose, col, distinct_by, let, null_if_empty, rstrip, strip, strip_chars, words
 
 
-def _fold_table() -> tuple[str, str]:
-    """Characters whose decomposition is one base character, and the marks to drop."""
-    source, target, marks = [], [], []
-    for code in (*range(0xA0, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x2200),
-                 *range(0xFF01, 0xFF5F)):
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition, without marks, holds matching characters.
+
+    The first two strings map one to one; the dictionary holds the decompositions of
+    several characters (ligatures, Roman numerals, fractions, squared words).  What
+    decomposes to none of ``[A-Za-z0-9+#.&]`` ends as a space in the matching form anyway.
+    """
+    source, target, longer = [], [], {}
+    for code in range(0xA0, 0x20000):
         char = chr(code)
-        base = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-        )
-        if base == char:
+        if 0xD800 <= code < 0xE000 or not unicodedata.decomposition(char):
             continue
-        if base == "":
-            marks.append(char)
-        elif len(base) == 1:
+        plain = unicodedata.normalize("NFKD", char)
+        base = "".join(c for c in plain if not unicodedata.combining(c))
+        if base == char or not re.search(r"[A-Za-z0-9+#.&]", base):
+            continue
+        if len(base) == 1:
             source.append(char)
             target.append(base)
-    return "".join(source + marks), "".join(target)
+        else:
+            longer[char] = base
+    return "".join(source), "".join(target), longer
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+_FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_tables()
+_LONGER_KEYS, _LONGER_FORMS = "".join(_FOLD_LONGER), list(_FOLD_LONGER.values())
 
 
-def fold_accents(c: Column) -> Column:
-    return F.translate(c, _FOLD_FROM, _FOLD_TO)
+def _class_around(chars: str, gap: int = 64) -> str:
+    """A character class of few ranges that covers ``chars``; what lies in a small gap is covered too."""
+    ranges: list[list[str]] = []
+    for char in sorted(chars):
+        if ranges and ord(char) - ord(ranges[-1][1]) <= gap:
+            ranges[-1][1] = char
+        else:
+            ranges.append([char, char])
+    return "[" + "".join(f"{a}-{b}" for a, b in ranges) + "]"
 
 
-def normalize_text(c: Column | str) -> Column:
-    """Lower-case, accent-free matching form: ``[a-z0-9+#.]`` words, single spaces."""
-    return _matching_form(fold_accents(col(c)))
+_MAY_BE_LONGER = _class_around(_LONGER_KEYS)
 
 
-def _matching_form(folded: Column) -> Column:
-    lowered = F.replace(F.lower(folded), F.lit("&"), F.lit(" and "))
-    return F.coalesce(F.trim(F.regexp_replace(lowered, r"[^a-z0-9+#.]+", " ")), F.lit(""))
-
+def fold_accents(c: Column) -> Column:
+    """Compatibility forms as plain characters, without combining marks."""
+    def spelled(text: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+                lambda ch: F.coalesce(
+                    F.get(F.lit(_LONGER_FORMS), F.position(ch, F.lit(_LONGER_KEYS)) - 1), ch
+                ),
+            ),
+            "",
+        )
 
-@F.pandas_udf(T.StringType())
-def _strip_marks(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None
-        if v is None
-        else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
-    )
+    whole = let(c, lambda text: F.when(text.rlike(_MAY_BE_LONGER), spelled(text)).otherwise(text))
+    return F.regexp_replace(F.translate(whole, _FOLD_FROM, _FOLD_TO), r"\p{Mn}+", "")
 
 
-def normalize_text_unicode(c: Column | str) -> Column:
-    """As :func:`normalize_text` for every script; one Arrow round trip per batch."""
-    return _matching_form(_strip_marks(col(c)))
+def normalize_text(c: Column | str) -> Column:
+    """Lower-case, accent-free matching form: ``[a-z0-9+#.]`` words, single spaces."""
+    lowered = F.replace(F.lower(fold_accents(col(c))), F.lit("&"), F.lit(" and "))
+    return F.coalesce(F.trim(F.regexp_replace(lowered, r"[^a-z0-9+#.]+", " ")), F.lit(""))
 
 
 def normalize_unicode(c: Column | str) -> Column:

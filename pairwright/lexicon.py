@@ -143,7 +143,6 @@ MONTHS = {
 }
 FIRST_YEAR = 1970
 TWO_DIGIT_PIVOT = 70
-MAX_EXPERIENCE_YEARS = 50.0
 _MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
 _PRESENT = r"present|current|curr(?:ent)?|now|today|to\s+date|ongoing|continuing"
 _YEAR4 = r"(?:19|20)\d{2}"
@@ -154,9 +153,10 @@ RANGE_MONTH_YEAR = (
 RANGE_MONTH_YEAR_TO_YEAR = (
     rf"(?i)\b({_MONTH})[\s.,]*'?(\d{{2,4}})\b\s*(?:-|–|—|to|until|till)\s*({_YEAR4})\b"
 )
+# Corrected: months 10 to 12 are read whole.
 RANGE_YEAR_MONTH = (
-    rf"(?i)\b({_YEAR4})\s*[/\-.]\s*(0?[1-9]|1[0-2])\s*(?:-|–|—|to|until|till)\s*"
-    rf"(?:({_YEAR4})\s*[/\-.]\s*(0?[1-9]|1[0-2])|({_PRESENT}))"
+    rf"(?i)\b({_YEAR4})\s*[/\-.]\s*(1[0-2]|0?[1-9])(?!\d)\s*(?:-|–|—|to|until|till)\s*"
+    rf"(?:({_YEAR4})\s*[/\-.]\s*(1[0-2]|0?[1-9])(?!\d)|({_PRESENT}))"
 )
 RANGE_YEARS = rf"\b({_YEAR4})\s*(?:-|–|—|to|until|till)\s*({_YEAR4})\b"
 RANGE_YEAR_PRESENT = (
@@ -229,6 +229,9 @@ SECTION_ALIASES = {
     "references": ("references", "referees"),
 }
 INLINE_SECTION = "skills"
+#: Lines of the header area, where a name and a place are looked for first.
+NAME_LINES = 6
+LOCATION_LINES = 12
 HEADING_MAX_CHARS = 80
 HEADING_MAX_WORDS = 6
 LABEL_WITH_CONTENT = r"^\s*([A-Za-z][A-Za-z &/,'()\-\.]{1,60}?)\s*:\s*(\S.*)$"
@@ -302,8 +305,6 @@ PROFICIENCY_NOTE = (
 CHUNK_SPLIT = r"(?<=[a-z0-9)\]])\s*[|]\s*"
 SKILL_STOPWORDS = r"\b(?:and|or|with|the|for)\b"
 NOISE_SKILL = r"^(?:experience|knowledge|skills?|familiarity|proficiency|expertise|etc)$"
-MAX_SKILL_LINE = 220
-MAX_SKILL_CHARS = 60
 EXPLICIT_CONFIDENCE = 0.95
 PHRASE_CONFIDENCE = 0.7
 WORD_CONFIDENCE = 0.6
@@ -405,8 +406,6 @@ NAME_MARKERS = ("compare ", "compare between ", "difference between ", " vs ")
 NAME_SPLIT = r"\s*(?:,|\band\b|\bversus\b|\bvs\.?\b)\s*"
 QUOTED_NAME = "[\"']([^\"']{2,60})[\"']"
 TRANSCRIPT_KEEP = 40
-USER_MESSAGE_CHARS = 2000
-ASSISTANT_MESSAGE_CHARS = 4000
 
 # --------------------------------------------------------------------------
 # Privacy, storage, display
@@ -422,10 +421,14 @@ ERASED_NAME = "Deleted candidate"
 ERASED_REASON = "Deleted at the candidate's or administrator's request"
 UPLOAD_EXTENSIONS = (".pdf", ".docx", ".txt")
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
+#: Windows-1252 characters of the bytes that ISO-8859-1 reads as controls; five have none.
+C1_CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+C1_WINDOWS = "".join(bytes([ord(c)]).decode("cp1252") for c in C1_CONTROLS)
+#: First bytes of PDF, ZIP (DOCX) and OLE (DOC) files.
+BINARY_HEADS = ("25504446", "504B0304", "D0CF11E0")
 MAX_UPLOAD_FILES = 20
 MIN_DOCUMENT_CHARS = 40
 RETENTION_DAYS = 365
-AUDIT_PAGE = 500
 RATE_LIMIT = 60
 RATE_WINDOW_SECONDS = 60
 ACRONYMS = {

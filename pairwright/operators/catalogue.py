@@ -119,7 +119,7 @@ def skill_catalogue(catalogue: DataFrame, terms: DataFrame, term: str) -> DataFr
         .groupBy("normalized_name")
         .agg(F.min("display_name").alias("name"))
         .select(
-            "normalized_name", F.left("name", F.lit(120)).alias("name"),
+            "normalized_name", "name",
             F.lit("other").alias("category"), F.array("name").alias("aliases"),
         )
     )

@@ -98,12 +98,12 @@ def top_skills(
 
 
 def most_missing_skills(
-    scored: DataFrame, candidates: DataFrame, top_n: int | None = 200, limit: int = 15,
+    scored: DataFrame, candidates: DataFrame, top_n: int | None = None, limit: int = 15,
     job_id: int | None = None,
 ) -> DataFrame:
     """Required terms the best-scored live candidates lack, counted per job and term.
 
-    ``top_n=None`` counts every scored pair.
+    Every scored pair counts; a caller may ask for the best ``top_n`` only.
     """
     rows = scored if job_id is None else scored.where(F.col("job_id") == job_id)
     rows = rows.join(

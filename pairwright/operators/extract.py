@@ -28,7 +28,7 @@ def _digits(c: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    return F.left(null_if_empty(F.regexp_extract(text, lx.EMAIL, 0)), F.lit(320))
+    return null_if_empty(F.regexp_extract(text, lx.EMAIL, 0))
 
 
 def phone(text: Column) -> Column:
@@ -40,13 +40,12 @@ def phone(text: Column) -> Column:
     ordered = F.array_sort(
         F.transform(usable, lambda p, i: F.struct((-_digits(p)).alias("n"), i.alias("i"), p.alias("p")))
     )
-    return F.left(F.get(ordered, F.lit(0))["p"], F.lit(60))
+    return F.get(ordered, F.lit(0))["p"]
 
 
 def _url(c: Column) -> Column:
     text = rstrip(strip(c), ".,;)")
-    full = F.when(F.startswith(text, F.lit("http")), text).otherwise(F.concat(F.lit("https://"), text))
-    return F.left(full, F.lit(400))
+    return F.when(F.startswith(text, F.lit("http")), text).otherwise(F.concat(F.lit("https://"), text))
 
 
 def link(text: Column, pattern: str) -> Column:
@@ -75,16 +74,19 @@ def portfolio(text: Column) -> Column:
 
 
 def full_name(lines: Column, mail: Column) -> Column:
-    """A name-shaped line near the top, a labelled name, or the e-mail's local part."""
-    head = F.transform(F.slice(lines, 1, 6), strip)
-    shaped = first_where(
-        head,
-        lambda l: (F.length(l) > 0)
-        & ~d.is_contact_line(l)
-        & ~d.is_header_text(l)
-        & d.is_plausible_name(l),
-    )
-    labels = F.transform(F.slice(lines, 1, 10), lambda l: d.label_value(l, lx.NAME_LABEL))
+    """A name-shaped line near the top, a labelled name, the e-mail's local part, or a later such line."""
+
+    def shaped_in(candidates: Column) -> Column:
+        return first_where(
+            F.transform(candidates, strip),
+            lambda l: (F.length(l) > 0)
+            & ~d.is_contact_line(l)
+            & ~d.is_header_text(l)
+            & d.is_plausible_name(l),
+        )
+
+    shaped = shaped_in(F.slice(lines, 1, lx.NAME_LINES))
+    labels = F.transform(lines, lambda l: d.label_value(l, lx.NAME_LABEL))
     labelled = first_where(labels, lambda l: F.coalesce(d.is_plausible_name(l), F.lit(False)))
     local = F.regexp_replace(F.get(F.split(mail, "@"), F.lit(0)), r"\d+", " ")
     parts = F.filter(F.split(local, r"[._\-]+"), lambda p: F.length(p) > 0)
@@ -99,13 +101,17 @@ def full_name(lines: Column, mail: Column) -> Column:
         return F.when(fits, joined)
 
     return F.coalesce(
-        shaped, labelled, let(F.transform(parts, lambda p: F.initcap(p)), from_mail)
+        shaped, labelled, let(F.transform(parts, lambda p: F.initcap(p)), from_mail), shaped_in(lines)
     )
 
 
 def location(lines: Column) -> Column:
-    """City and country out of the header area."""
-    head = F.transform(F.slice(lines, 1, 12), strip)
+    """City and country out of the header area, else of the whole text."""
+    return F.coalesce(_location_in(F.slice(lines, 1, lx.LOCATION_LINES)), _location_in(lines))
+
+
+def _location_in(lines: Column) -> Column:
+    head = F.transform(lines, strip)
     in_bar = first_where(
         F.flatten(
             F.transform(F.filter(head, lambda l: F.contains(l, F.lit(","))), d.contact_parts)
@@ -116,21 +122,21 @@ def location(lines: Column) -> Column:
         head,
         lambda l: F.contains(l, F.lit(",")) & ~d.is_header_text(l) & d.is_plausible_location(l),
     )
-    text = F.array_join(F.slice(lines, 1, 12), "\n")
+    text = F.array_join(lines, "\n")
     country = strip(group(text, lx.COUNTRY, 1))
     city = strip(group(text, lx.CITY_COUNTRY, 1))
     mentioned = F.when(
         country.isNotNull(),
         F.when(city.isNotNull(), F.concat_ws(", ", city, country)).otherwise(country),
     )
-    return F.left(F.coalesce(in_bar, alone, mentioned), F.lit(150))
+    return F.coalesce(in_bar, alone, mentioned)
 
 
 def current_title(lines: Column, experience: Column) -> Column:
     """A labelled title, else the first title line of the experience section or document."""
     labels = F.flatten(
         F.transform(
-            F.slice(lines, 1, 10),
+            lines,
             lambda l: F.array(*[d.label_value(l, p) for p in lx.TITLE_LABELS]),
         )
     )
@@ -150,7 +156,7 @@ def current_title(lines: Column, experience: Column) -> Column:
     found = first_where(
         F.transform(source, lambda l: let(strip(l), title)), lambda t: t.isNotNull()
     )
-    return F.left(F.coalesce(labelled, found), F.lit(200))
+    return F.coalesce(labelled, found)
 
 
 def extract_contacts(docs: DataFrame) -> DataFrame:
@@ -187,7 +193,7 @@ def date_ranges(docs: DataFrame, key: str) -> DataFrame:
 
 def merged_experience(
     spans: DataFrame, key: str, start: str = "start", end: str = "end",
-    max_years: float = lx.MAX_EXPERIENCE_YEARS,
+    max_years: float | None = None,
 ) -> DataFrame:
     """Total distinct months covered by the spans of each key, as years.
 
@@ -204,7 +210,7 @@ def merged_experience(
     months = starts.withColumn("_added", added).groupBy(key).agg(F.sum("_added").alias("months"))
     return months.select(
         key, "months",
-        F.round(F.least(F.col("months") / F.lit(12.0), F.lit(max_years)), 2).alias("years"),
+        capped_years(F.col("months"), max_years).alias("years"),
     )
 
 
@@ -224,8 +230,9 @@ def covered_months(ranges: Column) -> Column:
     return F.aggregate(ordered, zero, add, lambda s: s["months"])
 
 
-def capped_years(months: Column) -> Column:
-    return F.round(F.least(months / F.lit(12.0), F.lit(lx.MAX_EXPERIENCE_YEARS)), 2)
+def capped_years(months: Column, max_years: float | None = None) -> Column:
+    years = months / F.lit(12.0)
+    return F.round(years if max_years is None else F.least(years, F.lit(max_years)), 2)
 
 
 def split_title_company(line: Column) -> Column:
@@ -259,7 +266,7 @@ def dated(lines: Column, as_of: Column) -> Column:
     )
 
 
-def employment(rows: Column, max_bullets: int | None = 12) -> Column:
+def employment(rows: Column, max_bullets: int | None = None) -> Column:
     """Roles of an experience section given as :func:`dated` lines, and the titles that open them.
 
     A dated line opens a role; before the first of them a line that reads like a
@@ -305,7 +312,7 @@ def employment(rows: Column, max_bullets: int | None = 12) -> Column:
             F.when(~r["is_current"], dates.month_text(r["end"])).alias("end"),
             dates.months_between(r["start"], r["end"]).alias("months"),
             F.coalesce(r["is_current"], F.lit(False)).alias("is_current"),
-            F.left(m["line"], F.lit(400)).alias("raw"), bullets.alias("bullets"),
+            m["line"].alias("raw"), bullets.alias("bullets"),
         ).cast(EMPLOYMENT_ENTRY)
 
     def build(rows: Column) -> Column:
@@ -451,7 +458,7 @@ def _education(lines: Column) -> Column:
             degree.isNotNull()
             & field.isNotNull()
             & ~F.contains(normalize_text(degree), F.lower(field)),
-            F.left(F.concat(degree, F.lit(" ("), field, F.lit(")")), F.lit(200)),
+            F.concat(degree, F.lit(" ("), field, F.lit(")")),
         ).otherwise(degree)
         return F.struct(
             named.alias("degree"),
@@ -466,12 +473,12 @@ def _education(lines: Column) -> Column:
 
 def _tidy(info: Column) -> Column:
     """Move year and institution out of the degree text."""
-    place = F.left(education.strip_trailing_year(info["institution"]), F.lit(200))
+    place = education.strip_trailing_year(info["institution"])
     degree = education.strip_trailing_year(info["degree"])
     at = F.position(F.concat(F.lit(", "), place), degree)
     cut = F.when(at > 0, strip_chars(F.left(degree, at - 1), " ,;-")).otherwise(degree)
     return F.struct(
-        null_if_empty(F.left(cut, F.lit(200))).alias("highest_degree"),
+        null_if_empty(cut).alias("highest_degree"),
         info["field"].alias("degree_field"),
         F.when(info["degree"].isNull(), info["institution"])
         .otherwise(null_if_empty(place))
@@ -506,11 +513,11 @@ def parse_skill_entry(entry: Column) -> Column:
     )
 
 
-def is_skill_entry(name: Column) -> Column:
+def is_skill_entry(name: Column, max_chars: int | None = None) -> Column:
     count = F.size(words(name))
     normalized = normalize_text(name)
     return (
-        F.length(name).between(1, lx.MAX_SKILL_CHARS)
+        (F.length(name) > 0 if max_chars is None else F.length(name).between(1, max_chars))
         & (count <= 5)
         & ~(name.rlike(r"[.!?]$") & (count > 2))
         & (F.length(normalized) >= 2)
@@ -522,7 +529,7 @@ def _list_entries(text: Column) -> Column:
     """Entries of a list section: lines, bar-separated chunks without label, separators."""
     lines = F.filter(
         F.transform(F.split(text, "\n"), strip),
-        lambda l: F.length(l).between(1, lx.MAX_SKILL_LINE),
+        lambda l: F.length(l) > 0,
     )
     chunks = F.flatten(F.transform(lines, lambda l: F.split(l, lx.CHUNK_SPLIT)))
 
@@ -571,7 +578,7 @@ def implicit_skills(docs: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
             group(F.col("line"), lx.SKILL_YEARS, 1).try_cast("double").alias("years_experience"),
             F.lit(False).alias("is_certified"),
             F.array(
-                snippet(F.col("line"), F.col("start"), F.col("end"), padding=40, limit=180)
+                snippet(F.col("line"), F.col("start"), F.col("end"), padding=40, limit=0)
             ).alias("evidence"),
             F.lit("implicit").alias("source"),
             (F.lit(1_000_000) + F.col("line_no") * 1000 + F.col("start")).alias("seen_at"),
@@ -580,20 +587,26 @@ def implicit_skills(docs: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
 
 
 def merge_skill_observations(
-    observations: DataFrame, keys: list[str], max_evidence: int | None = 3
+    observations: DataFrame, keys: list[str], max_evidence: int | None = None
 ) -> DataFrame:
-    """One row per key and skill: strongest confidence, all mentions, most years, any certificate."""
-    first = F.struct("seen_at", "display_name", "category")
-    evidence = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("seen_at", "evidence"))),
-                lambda e: e["evidence"],
-            )
-        )
-    )
+    """One row per key and skill: strongest confidence, all mentions, most years, any certificate.
+
+    Evidence keeps each distinct text once, at its first place, before it is gathered; with
+    ``max_evidence`` only so many rows per skill leave the group-limited window.
+    """
+    order = [*keys, "normalized_name"]
+    texts = observations.select(*order, "seen_at", F.explode("evidence").alias("_text")).groupBy(
+        *order, "_text"
+    ).agg(F.min("seen_at").alias("_at"))
     if max_evidence is not None:
-        evidence = F.slice(evidence, 1, max_evidence)
+        nearest = Window.partitionBy(*order).orderBy("_at", "_text")
+        texts = texts.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= max_evidence)
+    gathered = texts.groupBy(*order).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda e: e["_text"]
+        ).alias("evidence")
+    )
+    first = F.struct("seen_at", "display_name", "category")
     return (
         observations.groupBy(*keys, "normalized_name")
         .agg(
@@ -604,9 +617,10 @@ def merge_skill_observations(
                 "years_experience"
             ),
             F.bool_or("is_certified").alias("is_certified"),
-            evidence.alias("evidence"),
             F.min("source").alias("source"),
         )
+        .join(gathered, order, "left")
+        .withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
         .select(
             *keys, "normalized_name", "_first.display_name", "_first.category", "confidence",
             "mention_count", "years_experience", "is_certified", "evidence", "source",
@@ -653,7 +667,7 @@ def attach_skills(
         key, "normalized_name",
         F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")), 4).alias("confidence"),
         "years_experience", (F.col("is_certified") | named).alias("is_certified"),
-        F.slice("evidence", 1, 3).alias("evidence"),
+        "evidence",
     )
     if max_skills is None:
         return out
@@ -666,7 +680,7 @@ def _pattern_names(text: Column) -> Column:
     found = F.flatten(
         F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in lx.CERTIFICATION_PATTERNS])
     )
-    tidy = F.transform(found, lambda c: truncate(strip_chars(c, " ,;|-•"), 120))
+    tidy = F.transform(found, lambda c: strip_chars(c, " ,;|-•"))
     return F.filter(tidy, lambda c: F.length(c) >= 4)
 
 
@@ -706,7 +720,7 @@ def certification_names(
     )
     entries = F.filter(
         F.transform(_list_entries(section), lambda e: e["name"]),
-        lambda n: F.length(n).between(1, 80),
+        lambda n: F.length(n) > 0,
     )
     by_pattern = each_with_position(docs, [key], patterns, "o", "name").select(
         key, F.lit(0).alias("channel"), "o", "name"

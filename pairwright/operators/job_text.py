@@ -19,8 +19,6 @@ from .extract import certification_names
 
 BUCKETS = tuple(key for key, _ in lx.JOB_HEADINGS)
 BLOCK_TYPE = "array<struct<i:int,bucket:string,text:string>>"
-#: Lines before the first heading that may state experience and education.
-INTRO_LINES = 6
 
 
 def job_heading(line: Column) -> Column:
@@ -106,7 +104,7 @@ def block_lines(blocks: Column, *names: str) -> Column:
 
 def is_skill_term(term: Column) -> Column:
     return (
-        F.length(term).between(1, 60)
+        (F.length(term) > 0)
         & ~term.rlike(lx.EXPERIENCE_BULLET)
         & ~term.rlike(lx.NOT_A_SKILL)
     )
@@ -119,7 +117,7 @@ def _chunks(line: Column) -> Column:
         return strip_chars(F.regexp_replace(text, lx.TRAILING_QUALIFIER, ""), " ,;•")
 
     return F.filter(
-        F.transform(F.split(strip(line), lx.JOB_SPLIT), tidy), lambda t: F.length(t).between(1, 60)
+        F.transform(F.split(strip(line), lx.JOB_SPLIT), tidy), lambda t: F.length(t) > 0
     )
 
 
@@ -149,7 +147,6 @@ def requirement_terms(jobs: DataFrame, key: str, aliases: DataFrame) -> DataFram
                 )
             ).alias("uses"),
         )
-        .where(F.length("line") <= 400)
     )
     units = each_with_position(
         lines, [key, "line_no"], F.concat(F.array("line"), _chunks(F.col("line"))), "unit", "text"
@@ -220,7 +217,7 @@ def education_required(lines: Column) -> Column:
             p["r"].alias("r"), i.alias("i"), p["text"].alias("text")))),
         lambda e: e["text"].isNotNull(),
     )
-    return F.left(F.get(F.array_sort(ranked), F.lit(0))["text"], F.lit(120))
+    return F.get(F.array_sort(ranked), F.lit(0))["text"]
 
 
 def job_title(lines: Column) -> Column:
@@ -234,27 +231,27 @@ def job_title(lines: Column) -> Column:
         )
 
     return first_where(
-        F.transform(F.slice(lines, 1, 8), lambda l: let(strip(l), title)), lambda t: t.isNotNull()
+        F.transform(lines, lambda l: let(strip(l), title)), lambda t: t.isNotNull()
     )
 
 
-def _labelled(lines: Column, pattern: str, top: int) -> Column:
+def _labelled(lines: Column, pattern: str) -> Column:
     return first_where(
-        F.transform(F.slice(lines, 1, top), lambda l: strip(group(strip(l), pattern, 1))),
+        F.transform(lines, lambda l: strip(group(strip(l), pattern, 1))),
         lambda v: v.isNotNull(),
     )
 
 
 def job_location(lines: Column) -> Column:
     labelled = first_where(
-        F.transform(F.slice(lines, 1, 12), lambda l: strip(group(strip(l), lx.LOCATION_LABEL, 1))),
-        lambda v: v.isNotNull() & F.length(v).between(2, 120),
+        F.transform(lines, lambda l: strip(group(strip(l), lx.LOCATION_LABEL, 1))),
+        lambda v: v.isNotNull() & (F.length(v) > 1),
     )
     hinted = first_where(
-        F.slice(lines, 1, 12),
+        lines,
         lambda l: contains_any(normalize_text(l), lx.LOCATION_HINTS) & F.contains(l, F.lit(",")),
     )
-    return F.coalesce(labelled, F.left(strip(hinted), F.lit(150)))
+    return F.coalesce(labelled, strip(hinted))
 
 
 def employment_type(lines: Column) -> Column:
@@ -264,13 +261,13 @@ def employment_type(lines: Column) -> Column:
             *[F.when(F.contains(key, F.lit(t)), t.title()) for t in lx.EMPLOYMENT_TYPES]
         )
 
-    return first_where(F.transform(F.slice(lines, 1, 12), kind), lambda t: t.isNotNull())
+    return first_where(F.transform(lines, kind), lambda t: t.isNotNull())
 
 
 def free_terms(lines: Column) -> Column:
     """Distinct candidate terms of a block."""
     kept = F.filter(
-        F.flatten(F.transform(F.filter(lines, lambda l: F.length(strip(l)) <= 400), _chunks)),
+        F.flatten(F.transform(lines, _chunks)),
         lambda t: (F.length(normalize_text(t)) >= 2) & is_skill_term(t),
     )
     return distinct_by(kept, normalize_text)
@@ -295,10 +292,10 @@ def parse_job_descriptions(
     other = block_lines(blocks, "other")
     stated = F.concat(
         block_lines(blocks, "required_skills"), block_lines(blocks, "preferred_skills"),
-        F.slice(other, 1, INTRO_LINES),
+        other,
     )
     duties = F.transform(
-        block_lines(blocks, "responsibilities"), lambda l: truncate(strip_bullets(l), 300)
+        block_lines(blocks, "responsibilities"), strip_bullets
     )
     soft = free_terms(block_lines(blocks, "soft_skills"))
     none = F.array().cast("array<string>")
@@ -312,7 +309,7 @@ def parse_job_descriptions(
         .select(
             key,
             job_title(F.col("lines")).alias("title"),
-            F.left(_labelled(F.col("lines"), lx.DEPARTMENT_LABEL, 10), F.lit(150)).alias("department"),
+            _labelled(F.col("lines"), lx.DEPARTMENT_LABEL).alias("department"),
             job_location(F.col("lines")).alias("location"),
             employment_type(F.col("lines")).alias("employment_type"),
             experience_required(F.array_join(stated, "\n")).alias("experience_required_years"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
@@ -17,6 +18,7 @@ from ..functions.columns import each_with_position, let
 from ..functions.education import degree_rank
 from ..functions.scores import clamp, cosine_of, norm, rescale_similarity, round4
 from ..functions.text import normalize_text, slugify_unknown
+from ..session import written
 from .catalogue import resolve_array
 
 MATCHED, WEAK, MISSING = "matched", "weak", "missing"
@@ -501,10 +503,25 @@ def upsert_matches(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def write_matches(matches: DataFrame, path: str) -> None:
-    """Overwrite only the job partitions present in ``matches``."""
+    """Add or replace the given pairs in the store at ``path``; every other pair stays.
+
+    The buckets of the jobs in ``matches`` are read, merged, written to the shared folder and
+    only then put in place of the old ones, so a lost job leaves the store as it was.
+    """
+    spark = matches.sparkSession
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(256)).cast("int")
+    fresh = written(spark, matches.withColumn("job_bucket", bucket), "fresh-matches")
+    try:
+        stored = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException:  # the first write
+        stored = None
+    if stored is not None:
+        touched = [r[0] for r in fresh.select("job_bucket").distinct().collect()]  # 256 at most
+        fresh = written(
+            spark, upsert_matches(stored.where(F.col("job_bucket").isin(touched)), fresh), "merged-matches"
+        )
     (
-        matches.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(256)))
-        .repartition("job_bucket", F.pmod(F.xxhash64("candidate_id"), F.lit(64)))
+        fresh.repartition("job_bucket", F.pmod(F.xxhash64("candidate_id"), F.lit(64)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("job_bucket")

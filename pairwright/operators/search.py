@@ -108,8 +108,9 @@ def list_jobs(
 
 
 def list_skills(
-    skills: DataFrame, search: str | None = None, category: str | None = None, limit: int = 100
+    skills: DataFrame, search: str | None = None, category: str | None = None, limit: int | None = 100
 ) -> DataFrame:
+    """Skills by name; ``limit`` is the page asked for, ``None`` lists all."""
     out = skills
     if category:
         known = category if category in lx.SKILL_CATEGORIES else "other"
@@ -119,20 +120,21 @@ def list_skills(
         out = out.where(
             F.contains(F.lower("name"), needle) | F.contains(F.lower("normalized_name"), needle)
         )
-    return out.orderBy("name").limit(min(limit, 500))
+    out = out.orderBy("name")
+    return out if limit is None else out.limit(limit)
 
 
 def audit_log(
-    logs: DataFrame, user_id: int | None = None, action: str | None = None, limit: int = 100
+    logs: DataFrame, user_id: int | None = None, action: str | None = None, limit: int | None = 100
 ) -> DataFrame:
+    """Newest audit rows; ``limit`` is the page asked for, ``None`` lists all."""
     out = logs
     if user_id is not None:
         out = out.where(F.col("user_id") == user_id)
     if action:
         out = out.where(F.col("action") == action)
-    return out.orderBy(F.col("created_at").desc(), F.col("audit_id").desc()).limit(
-        min(limit, lx.AUDIT_PAGE)
-    )
+    out = out.orderBy(F.col("created_at").desc(), F.col("audit_id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def candidate_summary(
@@ -235,7 +237,7 @@ def find_by_name(candidates: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def resolve_job(questions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The job each question means: an explicit id, the only active job, or a title it names.
+    """The job each question means: an explicit id that exists, the only active job, or a title it names.
 
     A title counts as named when it, or its first word, is contained in the
     question; the lowest job id wins.  The first word is the weaker condition,
@@ -259,8 +261,12 @@ def resolve_job(questions: DataFrame, jobs: DataFrame) -> DataFrame:
     return (
         questions.join(named, "question_id", "left")
         .withColumn("_only", only)
-        .withColumn("resolved_job_id", F.coalesce("job_id", "_only", "_named"))
-        .drop("_only", "_named")
+        .join(jobs.select(F.col("job_id").alias("_known")).distinct(), F.col("job_id") == F.col("_known"), "left")
+        .withColumn(
+            "resolved_job_id",
+            F.when(F.col("job_id").isNotNull(), F.col("_known")).otherwise(F.coalesce("_only", "_named")),
+        )
+        .drop("_only", "_named", "_known")
     )
 
 

@@ -29,6 +29,13 @@ def anonymise_candidates(spark, d):
     return out.select("candidate_id", "full_name", "email", "location", "status", "is_deleted")
 
 
+@query(o.with_base("""SELECT candidate_id, lower(brand) AS normalized_name FROM holdings JOIN customer ON c_custkey = candidate_id WHERE c_acctbal >= -500"""))
+def erased_skill_rows(spark, d):
+    """The skill rows that stay when the people are erased."""
+    _, skills = mg.erase_candidates(t.candidates(spark, d), t.candidate_skills(spark, d), erased(spark, d))
+    return skills.select("candidate_id", "normalized_name")
+
+
 @query(o.with_base("""SELECT 'candidates' AS relation, count(*) AS left_over FROM customer WHERE c_acctbal >= -500
   UNION ALL SELECT 'candidate_skills', count(*) FROM holdings JOIN customer ON c_custkey = candidate_id WHERE c_acctbal >= -500
   UNION ALL SELECT 'jobs', count(*) FROM supplier"""))
@@ -260,17 +267,22 @@ def rate_limit_flags(spark, d):
     return rate_limit.rate_limit_flags(events, "user_id", "ts", "event_id", LIMIT, WINDOW).select("event_id", "key", "allowed")
 
 
-@query(_LIMITER)
+#: The watermark of a stream that has ended lies at its newest event; older ones are decided.
+_SETTLED = "(SELECT max(epoch_us(ts)) - 1000000 FROM events)"
+
+
+@query(_LIMITER.replace("FROM run", "FROM run WHERE us <= " + _SETTLED, 2).replace("FROM run WHERE us <= " + _SETTLED + " r JOIN", "FROM run r JOIN"))
 def rate_limit_stream(spark, d):
     """The same decision taken on a stream with state."""
     target = scratch_path(spark, "flags")
     events = spark.readStream.schema(t.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
-    flags = rate_limit.rate_limit_stream(events, "user_id", "ts", "event_id", LIMIT, WINDOW)
+    flags = rate_limit.rate_limit_stream(events, "user_id", "ts", "event_id", LIMIT, WINDOW, "0 seconds")
     (
         flags.writeStream.format("parquet").option("path", target)
         .option("checkpointLocation", scratch_path(spark, "flags-state")).trigger(availableNow=True).start()
     ).awaitTermination()
-    return spark.read.parquet(target).select("event_id", "key", "allowed")
+    newest = t.table(spark, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
+    return spark.read.parquet(target).where(F.col("at") <= newest - 1_000_000).select("event_id", "key", "allowed")
 
 
 @query(f"""SELECT event_id, user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW - 1}999999 PRECEDING AND 1 PRECEDING) AS previous FROM events""")

@@ -550,7 +550,7 @@ def top_skills(spark, d):
 best AS MATERIALIZED (SELECT job_id, candidate_id,
     row_number() OVER (ORDER BY overall_score DESC, job_id, candidate_id) AS rn FROM matches)"""))
 def most_missing_skills(spark, d):
-    return dash.most_missing_skills(t.scored(spark, d), t.candidates(spark, d))
+    return dash.most_missing_skills(t.scored(spark, d), t.candidates(spark, d), top_n=200)
 
 
 @query(o.with_matches(
@@ -558,7 +558,7 @@ def most_missing_skills(spark, d):
     WHERE importance = 'required' AND status = 'missing'
     GROUP BY job_id, term ORDER BY missing_count DESC, job_id, skill LIMIT 15"""))
 def most_missing_skills_over_all(spark, d):
-    return dash.most_missing_skills(t.scored(spark, d), t.candidates(spark, d), top_n=None)
+    return dash.most_missing_skills(t.scored(spark, d), t.candidates(spark, d))
 
 
 @query(o.with_base(

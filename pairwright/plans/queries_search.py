@@ -106,7 +106,7 @@ def list_jobs(spark, d):
 
 @query("WITH " + o.SKILLS + " SELECT normalized_name, name FROM skills WHERE contains(lower(name), 'brand#1')")
 def list_skills(spark, d):
-    return se.list_skills(t.skills(spark, d), search="Brand#1").select("normalized_name", "name")
+    return se.list_skills(t.skills(spark, d), search="Brand#1", limit=None).select("normalized_name", "name")
 
 
 def audit_rows(spark, d) -> DataFrame:
@@ -117,9 +117,9 @@ def audit_rows(spark, d) -> DataFrame:
 
 
 @query("""SELECT event_id AS audit_id, user_id, event_type AS action FROM events WHERE event_type = 'purchase'
-  ORDER BY ts DESC, event_id DESC LIMIT 500""")
+""")
 def audit_log(spark, d):
-    return se.audit_log(audit_rows(spark, d), action="purchase", limit=9999).select("audit_id", "user_id", "action")
+    return se.audit_log(audit_rows(spark, d), action="purchase", limit=None).select("audit_id", "user_id", "action")
 
 
 @query(o.with_base(

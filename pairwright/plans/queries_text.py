@@ -206,11 +206,8 @@ r AS MATERIALIZED (
       WHEN '4-NOT SPECIFIED' THEN 'Machine Learning Scientist' ELSE 'Office Coordinator' END AS title,
     1985 + o_orderkey % 5 AS first_year
   FROM orders JOIN customer ON c_custkey = o_custkey),
-z AS MATERIALIZED (SELECT * EXCLUDE (e, s), s AS s0,
-    CASE WHEN kind = 3 AND (e - 1) % 12 + 1 >= 10 THEN ((e - 1) // 12) * 12 + 1 ELSE e END AS e0 FROM r),
-r0 AS MATERIALIZED (SELECT *, least(s0, e0) AS s, greatest(s0, e0) AS e FROM z),
 j AS MATERIALIZED (SELECT *, CASE kind WHEN 1 THEN ((s - 1) // 12) * 12 + 1 ELSE s END AS lo,
-    CASE kind WHEN 1 THEN ((e - 1) // 12) * 12 + 12 WHEN 2 THEN 24025 ELSE e END AS hi FROM r0)"""
+    CASE kind WHEN 1 THEN ((e - 1) // 12) * 12 + 12 WHEN 2 THEN 24025 ELSE e END AS hi FROM r)"""
 
 
 def parsed_resumes(spark, d) -> DataFrame:
@@ -303,7 +300,7 @@ def parse_job_descriptions(spark, d):
 @query("""WITH s AS (SELECT o_custkey AS candidate_id, year(o_orderdate) * 12 + month(o_orderdate) AS a, year(o_orderdate) * 12 + month(o_orderdate) + o_orderkey % 36 AS b FROM orders),
   m AS (SELECT DISTINCT candidate_id, unnest(generate_series(a, b - 1)) AS month FROM s WHERE b > a),
   c AS (SELECT candidate_id, count(*) AS months FROM m GROUP BY candidate_id)
-  SELECT s.candidate_id, CAST(coalesce(max(months), 0) AS BIGINT) AS months, round(least(coalesce(max(months), 0) / CAST(12 AS DOUBLE), 50), 2) AS years
+  SELECT s.candidate_id, CAST(coalesce(max(months), 0) AS BIGINT) AS months, round(coalesce(max(months), 0) / CAST(12 AS DOUBLE), 2) AS years
   FROM (SELECT DISTINCT candidate_id FROM s) s LEFT JOIN c ON c.candidate_id = s.candidate_id GROUP BY s.candidate_id""")
 def merged_experience(spark, d):
     """Months covered by each customer's overlapping order spans."""

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
-    """Session for tests and local runs; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", memory: str = "8g", partitions: int = 8, shared: str = "file:/tmp/pairwright-scratch"
+) -> SparkSession:
+    """Session for tests and local runs; a cluster brings its own.
+
+    All tasks run on this machine, so a folder of it is shared by them.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pairwright")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -28,17 +33,23 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder that every executor sees.
 
-    Only a local master without that setting falls back to a folder of this
-    machine; on a cluster the executors could not see it.
+    It lies under ``spark.checkpoint.dir``, or under the warehouse where that is unset, in
+    one folder per application, which :func:`clear_scratch` removes.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="pairwright-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has written, once no frame that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(spark: SparkSession, df, label: str):

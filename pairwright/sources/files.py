@@ -15,6 +15,8 @@ from ..functions.columns import not_blank, strip
 from ..functions.scores import human_size
 from ..operators import documents as d
 
+NOT_TEXT = "This format is not read as text."
+UNREADABLE = "The text is not readable in its encoding."
 EMPTY = "No readable text found. If this is a scanned document, it must be OCR'd before upload."
 
 
@@ -62,22 +64,42 @@ def check_batch(files: DataFrame, max_files: int = lx.MAX_UPLOAD_FILES) -> None:
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8, else UTF-16 with a byte-order mark, else Windows-1252."""
+    """UTF-8, else UTF-16 with a byte-order mark, else Windows-1252; NULL for broken UTF-16."""
     head = F.hex(F.substring(content, 1, 2))
-    utf16 = head.isin("FFFE", "FEFF") & (F.octet_length(content) % 2 == 0)
+    utf16 = head.isin("FFFE", "FEFF")
+    # one group of four digits per code unit, high byte first; what is no pair of surrogates must be none
+    units = F.regexp_replace(
+        F.hex(content), "(..)(..)", F.when(head == "FFFE", F.lit("$2$1 ")).otherwise(F.lit("$1$2 "))
+    )
+    alone = F.regexp_replace(units, "D[89AB].. D[CDEF].. ", "").rlike(r"(?:^| )D[89A-F]")
+    whole = (F.octet_length(content) % 2 == 0) & ~alone
+    # Windows-1252 is ISO-8859-1 but for 0x80 to 0x9F
+    western = F.translate(F.decode(content, "ISO-8859-1"), lx.C1_CONTROLS, lx.C1_WINDOWS)
     return (
         F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-        .when(utf16, F.decode(content, "UTF-16"))
-        .otherwise(F.decode(content, "windows-1252"))
+        .when(utf16 & whole, F.decode(F.when(utf16 & whole, content), "UTF-16"))
+        .when(~utf16, western)
     )
 
 
 def read_text_documents(files: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Add ``text``, ``lines``, ``status`` and ``error``; bad files stay as ``failed`` rows."""
+    """Add ``text``, ``lines``, ``status`` and ``error``; bad files stay as ``failed`` rows.
+
+    Only plain text is read.  Bytes of other formats, by name or by their first bytes, never
+    reach the parsers.
+    """
     checked = files if "rejection" in files.columns else validate_files(files)
+    binary = (F.col("extension") != ".txt") | F.hex(F.substring("content", 1, 4)).isin(*lx.BINARY_HEADS)
+    checked = checked.withColumn(
+        "rejection", F.coalesce("rejection", F.when(F.coalesce(binary, F.lit(False)), NOT_TEXT))
+    )
     decoded = checked.withColumn(
         "text", F.when(F.col("rejection").isNull(), decode_text(F.col("content")))
     )
+    decoded = decoded.withColumn(
+        "rejection",
+        F.coalesce("rejection", F.when(F.col("content").isNotNull() & F.col("text").isNull(), UNREADABLE)),
+    )
     cleaned = d.clean_lines(decoded).withColumn("text", d.clean_text())
     if max_chars is not None:
         cleaned = cleaned.withColumn("text", F.left("text", F.lit(max_chars)))

@@ -28,15 +28,14 @@ def incremental_scoring(
     checkpoint: str,
     weights: Mapping[str, float] | None = None,
 ) -> StreamingQuery:
-    """Score a stream of pairs micro-batch by micro-batch.
+    """Score a stream of pairs micro-batch by micro-batch into the match store at ``target``.
 
-    Each batch writes under its own id, so a batch that is retried after a lost
-    executor or driver replaces its own output and nothing else.  The profile
+    A pair has one row in the store: scored again, under other weights or in a batch that is
+    retried after a lost executor or driver, it takes the place of the old one.  The profile
     readers are called per batch and see current tables.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = score_batch(batch, jobs(), candidates(), read_existing(), weights)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        m.write_matches(score_batch(batch, jobs(), candidates(), read_existing(), weights), target)
 
     return (
         pairs.writeStream.foreachBatch(write)

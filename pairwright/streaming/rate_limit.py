@@ -8,8 +8,9 @@ key: the state is the times of the last allowed events, never more than
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -31,13 +32,20 @@ def _events(events: DataFrame, key: str, at: str, event_id: str) -> DataFrame:
     )
 
 
-def _decide(log: deque, at: int, limit: int, window: int) -> tuple[bool, int]:
-    while log and at - log[0] >= window:
-        log.popleft()
-    if len(log) >= limit:
-        return False, max(1, (window - (at - log[0])) // _MICROS + 1)
-    log.append(at)
-    return True, 0
+class Quota:
+    """The last ``limit`` grants of a key; only the oldest of them can stand in the way of the next."""
+
+    def __init__(self, limit: int, window: int, grants: Iterable[int] = ()) -> None:
+        self.window, self.grants = window, deque(grants, maxlen=limit)
+
+    def ask(self, at: int) -> tuple[bool, int]:
+        """Whether an event at ``at`` is allowed, else the seconds after which one may be."""
+        full = len(self.grants) == self.grants.maxlen
+        free = self.grants[0] + self.window if full else at
+        if at < free:
+            return False, (free - at) // _MICROS + 1
+        self.grants.append(at)
+        return True, 0
 
 
 def busy_periods(events: DataFrame, window_seconds: int) -> DataFrame:
@@ -72,14 +80,14 @@ def rate_limit_flags(
     window = window_seconds * _MICROS
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, log = None, deque()
+        current, quota = None, Quota(limit, window)
         for batch in batches:
             allowed, retry = [], []
             rows = zip(batch["key"].tolist(), batch["period"].tolist(), batch["at"].tolist())
             for k, period, moment in rows:
                 if (k, period) != current:
-                    current, log = (k, period), deque()
-                ok, wait = _decide(log, moment, limit, window)
+                    current, quota = (k, period), Quota(limit, window)
+                ok, wait = quota.ask(moment)
                 allowed.append(ok)
                 retry.append(wait)
             yield batch[["event_id", "key", "at"]].assign(allowed=allowed, retry_after=retry)
@@ -96,32 +104,45 @@ def rate_limit_stream(
     events: DataFrame, key: str, at: str, event_id: str, limit: int = lx.RATE_LIMIT,
     window_seconds: int = lx.RATE_WINDOW_SECONDS, lateness: str = "10 minutes",
 ) -> DataFrame:
-    """The same decision on a stream; the log of each key is state that expires by event time.
+    """The same decision on a stream, whatever the order of arrival within ``lateness``.
 
-    A task orders the events of one key in one micro-batch, so the source's rate
-    limit (files or offsets per trigger) bounds what it holds.
+    State of a key are its last grants and the events the watermark has not passed; only
+    events behind it are decided, in order of time, so a late one never meets the grants of
+    a later one.  The newest events wait for the watermark; it moves on with the events
+    of any key.
     """
     window = window_seconds * _MICROS
 
     def decide(
         keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        grants, waiting = state.get if state.exists else ([], [])
+        rows = [*((int(m), int(i)) for m, i in zip(waiting[::2], waiting[1::2]))]
+        for batch in batches:
+            rows += zip(batch["at"].tolist(), batch["event_id"].tolist())
+        rows.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        due = bisect_right(rows, (passed, 1 << 63))
+        quota = Quota(limit, window, grants)
+        decided = [quota.ask(moment) for moment, _ in rows[:due]]
+        rest = rows[due:]
+        if not rest and (not quota.grants or quota.grants[-1] + window <= passed):
             state.remove()
-            return
-        log = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        decided = [_decide(log, moment, limit, window) for moment in rows["at"].tolist()]
-        state.update((list(log),))
-        expires = (log[-1] + window) // 1000
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield rows[["event_id", "key", "at"]].assign(
-            allowed=[ok for ok, _ in decided], retry_after=[wait for _, wait in decided]
-        )
+        else:
+            state.update((list(quota.grants), [x for row in rest for x in row]))
+            wake = rest[0][0] if rest else quota.grants[-1] + window
+            state.setTimeoutTimestamp(max(wake // 1000, state.getCurrentWatermarkMs()) + 1)
+        if due:
+            yield pd.DataFrame(
+                {
+                    "event_id": [i for _, i in rows[:due]], "key": keys[0], "at": [m for m, _ in rows[:due]],
+                    "allowed": [ok for ok, _ in decided], "retry_after": [wait for _, wait in decided],
+                }
+            )
 
     timed = _events(events, key, at, event_id).withColumn("moment", F.timestamp_micros("at"))
     return timed.withWatermark("moment", lateness).groupBy("key").applyInPandasWithState(
-        decide, OUT, "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        decide, OUT, "grants array<bigint>, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -109,8 +109,6 @@ def test_guards(spark):
         features.check_no_protected(spark.createDataFrame([(1,)], "gender int"))
     with pytest.raises(ValueError):
         compare.comparison_set(spark, [1])
-    with pytest.raises(ValueError):
-        vectors.similarity_block(spark.range(1), "id", [])
     with pytest.raises(ValueError):
         learn.make_model("other")
     report = spark.createDataFrame([("a", 1)], "rule string, violations bigint")
