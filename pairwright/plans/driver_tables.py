@@ -253,18 +253,21 @@ def candidate_vectors(spark, d) -> DataFrame:
     return _vectors(spark, d, ids.where("candidate_id % 17 <> 0"), "candidate_id")
 
 
-def scored(spark, d, weights=None) -> DataFrame:
-    """Every eligible application, scored."""
-    return m.score_pairs(
-        eligible_applications(spark, d),
+def profiles(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Job and candidate profiles that pairs are scored with."""
+    return (
         m.job_profiles(jobs(spark, d), job_vectors(spark, d)),
         m.candidate_profiles(
             candidates(spark, d), candidate_skills(spark, d), candidate_vectors(spark, d)
         ),
-        weights,
     )
 
 
+def scored(spark, d, weights=None) -> DataFrame:
+    """Every eligible application, scored."""
+    return m.score_pairs(eligible_applications(spark, d), *profiles(spark, d), weights)
+
+
 def match_results(spark, d) -> DataFrame:
     return m.match_results(scored(spark, d))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import extract as xt
 from ..operators import manage as mg
 from ..operators import matching as m
 from ..session import scratch_path
@@ -77,30 +78,39 @@ def set_shortlist(spark, d):
     return mg.set_shortlist(t.candidates(spark, d), big).select("candidate_id", "shortlisted")
 
 
-@query(o.with_candidates("""SELECT candidate_id, CASE WHEN candidate_id % 2 = 0 THEN 'Typed name' ELSE full_name END AS full_name, current_title FROM cands"""))
-def insert_candidates(spark, d):
-    """Typed values beat parsed ones; blanks do not."""
-    parsed = t.candidates(spark, d).select("candidate_id", "full_name", "current_title")
-    typed = parsed.select("candidate_id", F.when(F.col("candidate_id") % 2 == 0, "Typed name").otherwise("").alias("full_name"))
-    return mg.insert_candidates(typed, parsed, ["full_name", "current_title"])
-
-
-@query(o.with_candidates("""SELECT candidate_id, CASE WHEN shortlisted THEN 'reparsed' ELSE status END AS status FROM cands"""))
-def rebuild_profiles(spark, d):
-    """Selected rows replaced by freshly parsed ones."""
-    rows = t.candidates(spark, d).select("candidate_id", "status", "shortlisted")
-    fresh = rows.where("shortlisted").withColumn("status", F.lit("reparsed"))
-    return mg.replace_rows(rows, fresh, "candidate_id").select("candidate_id", "status")
-
-
-@query("SELECT s_suppkey AS job_id FROM supplier WHERE s_suppkey % 4 <> 0")
+@query("""SELECT s_suppkey AS job_id, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 384 END AS dimensions, CAST(1 AS DOUBLE) AS norm FROM supplier""")
 def refresh_embeddings(spark, d):
-    """Jobs whose text changed since, or never had, a vector."""
+    """The vector store after the jobs whose text changed since, or never had, a vector were embedded."""
     now = t.jobs(spark, d).select("job_id", F.col("description").alias("text"))
     stored = now.where("job_id % 4 < 2").select(
-        "job_id", F.when(F.col("job_id") % 4 == 0, F.xxhash64("text")).otherwise(F.lit(0)).alias("text_hash")
+        "job_id", F.when(F.col("job_id") % 4 == 0, F.xxhash64("text")).otherwise(F.lit(0)).alias("text_hash"),
+        F.array(F.lit(1.0)).alias("embedding"),
+    )
+    store = mg.refresh_vectors(now, "job_id", "text", stored)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    return store.select("job_id", F.size("embedding").alias("dimensions"), F.round(length, 6).alias("norm"))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS candidate_id, lower(p_brand) AS normalized_name, 0.5 + o_custkey % 5 / CAST(10 AS DOUBLE) AS confidence
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 < 2),
+  q AS (SELECT DISTINCT o_custkey AS candidate_id, lower(p_brand) AS normalized_name
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_partkey % 4 = 0)
+  SELECT coalesce(p.candidate_id, q.candidate_id) AS candidate_id, coalesce(p.normalized_name, q.normalized_name) AS normalized_name,
+    round(greatest(p.confidence, CASE WHEN q.candidate_id IS NOT NULL THEN CAST(0.7 AS DOUBLE) END), 6) AS confidence,
+    CASE WHEN p.confidence >= 0.7 OR q.candidate_id IS NULL THEN 'parsed' ELSE 'declared' END AS source
+  FROM p FULL JOIN q ON p.candidate_id = q.candidate_id AND p.normalized_name = q.normalized_name""")
+def merge_declared_skills(spark, d):
+    """Skills a text shows and skills the person declares, the surer of both."""
+    lines = t.order_lines(spark, d)
+    row = lambda rows, confidence, source: rows.select(
+        F.col("o_custkey").alias("candidate_id"), F.lower("p_brand").alias("normalized_name"),
+        confidence.cast("double").alias("confidence"), F.lit(source).alias("source"),
+    ).distinct()
+    parsed = row(lines.where("l_orderkey % 3 < 2"), 0.5 + F.col("o_custkey") % 5 / 10, "parsed")
+    declared = row(lines.where("l_partkey % 4 = 0"), F.lit(0.7), "declared")
+    return xt.merge_declared(parsed, declared, "candidate_id").select(
+        "candidate_id", "normalized_name", F.round("confidence", 6).alias("confidence"), "source"
     )
-    return mg.stale_vectors(now, "job_id", "text", stored).select("job_id")
 
 
 @query("""SELECT event_id AS audit_id, '{"k":' || json_extract_string(props, '$.k') || ',"password":"[redacted]"}' AS detail, left('10.0.0.' || user_id, 64) AS ip_address FROM events""")

@@ -323,9 +323,10 @@ def _existing(spark, d, other: DataFrame | None = None) -> DataFrame:
     """A store that holds a third of the matches under current and a third under old weights."""
     rows = t.match_results(spark, d).withColumn("_k", (F.col("job_id") + F.col("candidate_id")) % 3)
     old = F.struct(*[F.lit(CUSTOM[c]).alias(c) for c in lx.COMPONENTS])
-    return rows.where("_k < 2").withColumn(
+    rows = rows.where("_k < 2").withColumn(
         "weights", F.when(F.col("_k") == 1, old).otherwise(F.col("weights"))
     ).drop("_k")
+    return written(spark, rows, "stored-matches")
 
 
 @query(o.with_matches(
@@ -343,11 +344,8 @@ def pending_pairs(spark, d):
     GROUP BY a.job_id"""))
 def score_all_outcomes(spark, d):
     """Batch over all applications: scored, skipped as unchanged, failed as not eligible."""
-    existing = _existing(spark, d).drop("weights")
-    done = t.scored(spark, d).join(
-        m.pending_pairs(t.eligible_applications(spark, d), _existing(spark, d)),
-        ["job_id", "candidate_id"], "left_semi",
-    )
+    existing = _existing(spark, d)
+    done = m.score_all(t.eligible_applications(spark, d), *t.profiles(spark, d), existing)
     return m.batch_outcomes(t.applications(spark, d), done, existing)
 
 
@@ -358,10 +356,8 @@ def upsert_matches(spark, d):
     existing = _existing(spark, d).withColumn(
         "overall_score", F.when(F.col("weights.education") == 0.1, 0.0).otherwise(F.col("overall_score"))
     )
-    fresh = t.match_results(spark, d).join(
-        m.pending_pairs(t.eligible_applications(spark, d), existing), ["job_id", "candidate_id"], "left_semi"
-    )
-    stored = m.upsert_matches(existing, fresh)
+    done = m.score_all(t.eligible_applications(spark, d), *t.profiles(spark, d), existing)
+    stored = m.upsert_matches(existing, m.match_results(done))
     return stored.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("stored"), F.round(F.sum("overall_score"), 4).alias("total")
     )

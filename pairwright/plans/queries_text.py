@@ -9,6 +9,7 @@ from ..operators import catalogue as cat
 from ..operators import documents as dc
 from ..operators import extract as xt
 from ..operators import job_text as jt
+from ..operators import manage as mg
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -254,6 +255,35 @@ def build_candidate_profiles(spark, d):
     )
 
 
+_NAMED = """, p AS (SELECT doc_id, title, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' '
+    || CASE o_orderstatus WHEN 'F' THEN 'Lyon' WHEN 'O' THEN 'Osaka' ELSE 'Lagos' END AS full_name FROM j)"""
+
+
+@query("WITH " + _RESUME + _NAMED + """ SELECT doc_id AS candidate_id, CASE WHEN doc_id % 2 = 0 THEN 'Typed name' ELSE full_name END AS full_name, title AS current_title FROM p""")
+def insert_candidates(spark, d):
+    """Pasted texts parsed to candidate rows; typed values beat parsed ones, blanks do not."""
+    parsed = xt.extract_contacts(parsed_resumes(spark, d)).select(
+        F.col("doc_id").alias("candidate_id"), "full_name", "current_title"
+    )
+    typed = t.resumes(spark, d).select(
+        F.col("doc_id").alias("candidate_id"),
+        F.when(F.col("doc_id") % 2 == 0, "Typed name").otherwise("").alias("full_name"),
+    )
+    return mg.insert_candidates(typed, parsed, ["full_name", "current_title"])
+
+
+@query("WITH " + _RESUME + _NAMED + """ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN full_name ELSE 'as stored' END AS full_name,
+    CASE WHEN doc_id % 3 = 0 THEN title END AS current_title FROM p""")
+def rebuild_profiles(spark, d):
+    """Stored rows of the selected candidates replaced by what their stored text parses to today."""
+    texts = t.resumes(spark, d)
+    stored = texts.select("doc_id", F.lit("as stored").alias("full_name"), F.lit(None).cast("string").alias("current_title"))
+    selected = stored.where("doc_id % 3 = 0").select("doc_id")
+    again = dc.sectionise(dc.clean_lines(texts.join(selected, "doc_id", "left_semi")))
+    fresh = xt.extract_contacts(again).select("doc_id", "full_name", "current_title")
+    return mg.replace_rows(stored, fresh, "doc_id")
+
+
 @query("WITH " + _RESUME + """, b AS (SELECT doc_id, 'brand#' || (doc_id % 25 + 1) AS normalized_name FROM j UNION ALL SELECT doc_id, 'brand#' || (o_custkey % 25 + 1) FROM j)
   SELECT doc_id, normalized_name, CAST(0.95 AS DOUBLE) AS confidence, CAST(3 AS DOUBLE) AS years_experience, 2 * count(*) AS mention_count, 'explicit' AS source
   FROM b GROUP BY doc_id, normalized_name""")
