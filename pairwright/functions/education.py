@@ -97,7 +97,3 @@ def year_in(c: Column | str) -> Column:
 
 def strip_trailing_year(c: Column) -> Column:
     return strip(strip_chars(F.regexp_replace(c, lx.TRAILING_YEAR, ""), " ,;-"))
-
-
-def is_graduation_line(c: Column) -> Column:
-    return any_of(lx.INSTITUTION_HINTS, lambda h: F.contains(normalize_text(c), F.lit(h)))

@@ -151,10 +151,6 @@ def strip_bullets(c: Column | str) -> Column:
     return strip(F.regexp_replace(col(c), lx.LEADING_BULLET, ""))
 
 
-def strip_list_marker(c: Column | str) -> Column:
-    return strip(F.regexp_replace(col(c), lx.LIST_MARKER, ""))
-
-
 def dehyphenate(c: Column | str) -> Column:
     return F.regexp_replace(col(c), lx.HYPHEN_BREAK, "$1$2")
 

@@ -301,13 +301,6 @@ def is_email_line(line: Column) -> Column:
     return strip(line).rlike(lx.EMAIL_LINE)
 
 
-def first_meaningful_line(lines: Column) -> Column:
-    found = first_where(
-        F.transform(lines, strip), lambda l: (F.length(l) > 0) & ~l.rlike(lx.PAGE_NOISE)
-    )
-    return F.coalesce(found, F.lit(""))
-
-
 def _one_of(text: Column, values) -> Column:
     return F.array_contains(literal_array(values), text)
 

@@ -270,10 +270,6 @@ def resolve_job(questions: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def subset(df: DataFrame, keep: Column) -> DataFrame:
-    return df.where(keep)
-
-
 def latest_rows(df: DataFrame, keys: Sequence[str], created: str, tie: str, n: int) -> DataFrame:
     return top_per_group(df, list(keys), [F.col(created).desc(), F.col(tie).asc()], n)
 

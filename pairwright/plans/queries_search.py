@@ -10,6 +10,7 @@ from ..operators import catalogue as cat
 from ..operators import explain as ex
 from ..operators import ranking as rk
 from ..operators import search as se
+from ..operators import vectors as vec
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -342,3 +343,33 @@ def skill_catalogue(spark, d):
 @query("WITH " + o.REQUIREMENTS + """ SELECT job_id, lower(term) AS normalized_name, importance FROM reqs WHERE importance <> 'certification'""")
 def job_skills(spark, d):
     return cat.job_skills(t.jobs(spark, d), cat.alias_table(t.skills(spark, d))).select("job_id", "normalized_name", "importance")
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM (SELECT o_custkey, o_orderkey,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
+def latest_orders(spark, d):
+    """The three newest orders of every customer."""
+    orders = t.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return se.latest_rows(orders, ["o_custkey"], "o_orderdate", "o_orderkey", 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def first_orders(spark, d):
+    """The first order of every customer."""
+    return se.first_seen(t.table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25")
+def oldest_customers(spark, d):
+    """The page of the 25 oldest rows."""
+    return se.oldest(t.table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 25)
+
+
+@query("""SELECT vec_id, left(sha256('local:hash:64'), 16) AS signature, len(embedding) = 64 AS fits FROM embeddings""")
+def embedder_signatures(spark, d):
+    """Which stored vectors fit the configured embedder."""
+    wanted = F.array_repeat(F.lit(0.0), 64)
+    return t.table(spark, d, "embeddings").select(
+        "vec_id", vec.embedder_signature("local", "hash", 64).alias("signature"),
+        vec.compatible(F.col("embedding"), wanted).alias("fits"),
+    )

@@ -10,6 +10,7 @@ from ..operators import documents as dc
 from ..operators import extract as xt
 from ..operators import job_text as jt
 from ..operators import manage as mg
+from ..operators import search as se
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -112,6 +113,31 @@ def unique_term_lists(spark, d):
     return t.table(spark, d, "part").select("p_partkey", F.array_join(tx.unique_terms(tx.split_terms(raw)), ",").alias("terms"))
 
 
+@query("SELECT p_partkey, p_name || '|' || p_type AS coerced, p_name || '|' || p_type AS united, p_type || '|' || p_name AS ordered FROM part")
+def term_unions(spark, d):
+    """Term lists cleaned and united without regard to case."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    shown = lambda c: F.array_join(c, "|")
+    return t.table(spark, d, "part").select(
+        "p_partkey",
+        shown(tx.coerce_terms(F.concat(F.lit("- "), name, F.lit("; "), kind, F.lit(", "), F.upper(name)))).alias("coerced"),
+        shown(tx.union_terms(F.array(name), F.array(F.upper(name), kind))).alias("united"),
+        shown(cat.ordered_union(F.array(kind), F.array(F.upper(kind), name))).alias("ordered"),
+    )
+
+
+@query("""SELECT event_id, event_type || '|x' AS listed, event_type AS single, '["' || event_type || '"]' AS told FROM events""")
+def json_columns(spark, d):
+    """List columns in their text forms, read and written."""
+    kind = F.col("event_type")
+    return t.table(spark, d, "events").select(
+        "event_id",
+        F.array_join(tj.string_list(F.concat(F.lit('["'), kind, F.lit('","x"]'))), "|").alias("listed"),
+        F.array_join(tj.string_list(kind), "|").alias("single"),
+        tj.json_text(F.array(kind)).alias("told"),
+    )
+
+
 # -- documents ----------------------------------------------------------------
 def cleaned(spark, d) -> DataFrame:
     return dc.clean_lines(t.documents(spark, d))
@@ -229,6 +255,15 @@ def sectionise(spark, d):
     return dc.section_rows(parsed_resumes(spark, d), "doc_id").select("doc_id", "section", "start_line", "end_line")
 
 
+@query("WITH " + _RESUME + """ SELECT doc_id AS candidate_id, unnest(['preamble', 'summary', 'experience', 'education', 'skills', 'certifications']) AS section
+  FROM j WHERE o_custkey % 5 = 0""")
+def requested_sections(spark, d):
+    """The sections of the candidates asked for."""
+    rows = dc.section_rows(parsed_resumes(spark, d), "doc_id").select(F.col("doc_id").alias("candidate_id"), "section")
+    asked = t.table(spark, d, "orders").where("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("candidate_id"))
+    return se.section_readout(rows, asked)
+
+
 @query("WITH " + _RESUME + """, p AS (SELECT doc_id, o_custkey, title, lo, hi, o_orderpriority, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' '
     || CASE o_orderstatus WHEN 'F' THEN 'Lyon' WHEN 'O' THEN 'Osaka' ELSE 'Lagos' END AS full_name,
     CASE o_orderstatus WHEN 'F' THEN 'Lyon, France' WHEN 'O' THEN 'Osaka, Japan' ELSE 'Lagos, Nigeria' END AS location FROM j)

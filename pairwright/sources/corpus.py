@@ -47,10 +47,18 @@ def _typed(name: str, column: str) -> Column:
     return F.coalesce(text, F.lit("")).alias(column)
 
 
-def read_delimited(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One corpus file, typed; a missing column fails before any row is read."""
+def read_delimited(
+    spark: SparkSession, path: str, name: str, cells_span_lines: bool | None = None
+) -> DataFrame:
+    """One corpus file, typed; a missing column fails before any row is read.
+
+    A file whose cells never span lines is split among tasks; by default that is said of
+    files without text columns only.
+    """
+    if cells_span_lines is None:
+        cells_span_lines = any(c not in NUMBERS for c in COLUMNS[name])
     raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", cells_span_lines).option("escape", '"')
         .option("enforceSchema", False).csv(path)
     )
     missing = [c for c in COLUMNS[name] if c not in raw.columns]
