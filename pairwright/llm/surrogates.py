@@ -30,7 +30,7 @@ _ALL = f"{MALE}|{FEMALE}|{EITHER}"
 NUMBERS = (
     ("ip", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("card", r"\d(?:[ -]?\d){12,18}(?!\w)"),
+    ("card", r"(?:\d{13,19}|\d{4}(?:(?: \d{4}){2} |(?:-\d{4}){2}-)\d{1,7}|\d{4}(?: \d{6} |-\d{6}-)\d{5})(?!\w)"),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"),
 )
 WORDS = (

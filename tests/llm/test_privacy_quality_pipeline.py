@@ -16,6 +16,7 @@ TEXTS = [
     "Mr. John Smith met Mrs Anna Smith; Mr. Smith left. Dr. Lee", "Herr Müller, г-жа Анна Петрова, κύριος Γιώργος Παπάς",
     "ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00 end", "﷐ odd ﷑ marks ﷒ jo.99@mail3.example.com $1 \\1",
     "x" * 200_000 + " jo.99@mail3.example.com",
+    "4337166598464399 42.144.35.254 +1 (988) 555-2485 4337166598464399 3782-822463-10005",
 ]
 
 
@@ -59,6 +60,9 @@ def test_forms_and_coreference(replaced):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert text(11) == f"﷐ odd ﷑ marks ﷒ {a} $1 \\1"
     assert text(12) == "x" * 200_000 + " " + a
+    beside = re.fullmatch(r"(\d{16}) (\S+) (\+1 \(\d{3}\) \d{3}-\d{4}) (\d{16}) (\S+)", text(13)).groups()
+    assert beside[0] == beside[3] == first and beside[1] == x and beside[2] == one
+    assert re.fullmatch(r"3\d{3}-\d{6}-\d{5}", beside[4]) and beside[4] != "3782-822463-10005"
     assert replaced[None, "null id"].text == text(3) and replaced[3, "twice"].text == text(4)
     assert replaced[8, "kept"].n_entities == 6
 
