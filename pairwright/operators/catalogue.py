@@ -16,7 +16,7 @@ from ..functions.text import lookup_keys, normalize_text, slugify_unknown
 #: Characters a token of matching-form text can hold; punctuation stands alone.
 _TOKEN = r"[a-z0-9]+|[+#. ]"
 #: Tokens per slice of a long line.
-_SLICE = 256
+_SLICE = 32
 
 
 def category_or_other(c: Column) -> Column:
@@ -153,34 +153,45 @@ def _line_slices(text: Column, longest: Column) -> Column:
     """
     def cut(tokens: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - 1), F.lit(_SLICE))
-        return F.transform(
-            starts,
-            lambda s: F.struct(
-                F.length(F.array_join(F.slice(tokens, F.lit(1), s), "")).alias("offset"),
-                F.get(tokens, s - 1).alias("before"),
-                F.slice(tokens, s + 1, longest + _SLICE).alias("tokens"),
+        widths = F.transform(
+            starts, lambda s: F.length(F.array_join(F.slice(tokens, s + 1, F.lit(_SLICE)), ""))
+        )
+        return let(
+            widths,
+            lambda w: F.transform(
+                starts,
+                lambda s, k: F.struct(
+                    _total(F.slice(w, F.lit(1), k)).alias("offset"),
+                    F.get(tokens, s - 1).alias("before"),
+                    F.slice(tokens, s + 1, longest + _SLICE).alias("tokens"),
+                ),
             ),
         )
 
     return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), cut)
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda s, n: s + n)
+
+
 def _starts(piece: Column, longest: Column) -> Column:
     """Each token of a slice with its offset and the text a mention there could cover."""
-    def start(i: Column) -> Column:
+    def start(i: Column, widths: Column) -> Column:
         before = F.when(i == 1, piece["before"]).otherwise(F.get(piece["tokens"], i - 2))
         return F.struct(
             F.get(piece["tokens"], i - 1).alias("head"),
-            (
-                piece["offset"]
-                + F.length(F.array_join(F.slice(piece["tokens"], F.lit(1), i - 1), ""))
-            ).alias("start"),
+            (piece["offset"] + _total(F.slice(widths, F.lit(1), i - 1))).alias("start"),
             F.coalesce(before.rlike("^[a-z0-9]"), F.lit(False)).alias("glued"),
             F.array_join(F.slice(piece["tokens"], i, longest + 1), "").alias("reach"),
         )
 
-    return F.transform(
-        F.sequence(F.lit(1), F.least(F.size(piece["tokens"]), F.lit(_SLICE))), start
+    return let(
+        F.transform(piece["tokens"], F.length),
+        lambda widths: F.transform(
+            F.sequence(F.lit(1), F.least(F.size(piece["tokens"]), F.lit(_SLICE))),
+            lambda i: start(i, widths),
+        ),
     )
 
 
