@@ -25,6 +25,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids (of eight bytes) up to which a list of them is sent to every executor.
+BROADCAST_IDS = 1 << 20
+
+
+def only_listed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids``, a written table of distinct long ids.
+
+    The list is counted first: up to ``BROADCAST_IDS`` ids are broadcast, so that ``df`` is
+    filtered where it lies; longer lists are joined by a shuffle.
+    """
+    ids = ids.select(key)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``links(a, b)``; a component is named by its least node.
 

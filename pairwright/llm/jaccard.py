@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, only_listed
 
 
 @dataclass(frozen=True)
@@ -194,8 +194,9 @@ def candidate_groups(sets: DataFrame, spec: JaccardSpec) -> DataFrame:
     )
     copies = sets.groupBy("set_a", "set_b").agg(F.min("doc").alias("doc")).select("doc")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(spec.over / spec.share) + 1e-9)
+    live = materialize(live.join(copies, "doc").select("doc"), "live-documents")
     banded = materialize(
-        shared.join(live.join(copies, "doc").select("doc"), "doc")
+        only_listed(shared, live, "doc")
         .select("doc", "n", "token", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")),
         "banded-shingles",
     )
@@ -285,7 +286,7 @@ def verified_links(docs: DataFrame, tiled: DataFrame, spec: JaccardSpec, id_colu
             yield links()
 
     shingled = (
-        texts.join(placed, "doc").select("doc", "text", "tiles")
+        only_listed(texts, placed, "doc").join(placed, "doc").select("doc", "text", "tiles")
         .mapInArrow(cut, "doc long, tiles array<struct<tile:string,side:int>>, shingles binary")
         .select("doc", F.explode("tiles").alias("t"), "shingles")
         .select("t.tile", "doc", "t.side", "shingles")
