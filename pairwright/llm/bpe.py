@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ class ByteBpe:
         self.pieces = {i: piece for piece, i in self.ranks.items()}
         self.matches = regex.compile(pattern)
         self.none = max(self.ranks.values(), default=0) + 1
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
         pairs = {
             self.ranks[piece[:k]] * self.none + self.ranks[piece[k:]]: i
             for piece, i in self.ranks.items()
@@ -35,6 +34,12 @@ class ByteBpe:
         self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
         self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)] or [0], np.int64)
         self.byte_ids = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
+        two = [self.ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)]
+        self.byte_pairs = np.array(two, np.int64).reshape(256, 256) << 32
+        lengths = np.array([len(self.pieces.get(i, b"")) for i in range(self.none)], np.int64)
+        self.piece_ends = np.cumsum(lengths)
+        self.piece_starts = self.piece_ends - lengths
+        self.piece_bytes = np.frombuffer(b"".join(self.pieces.get(i, b"") for i in range(self.none)), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match.
@@ -95,19 +100,23 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def merge_short(self, pieces: list[bytes]) -> list[list[int]]:
+    def merge_short(self, pieces: list[bytes]) -> list[bytes]:
         """:meth:`merge` for many pieces of at most ``MEMORY_BYTES`` bytes, one segment tree per row.
 
         Trees of equal width are rows of one array; each round takes every row's root
-        and makes its three point updates, for all rows at once.
+        and makes its three point updates, for all rows at once.  Ids come as bytes.
         """
-        out: list[list[int]] = [[]] * len(pieces)
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
-        for width in np.unique(widths):
+        whole = [self.ranks.get(p) for p in pieces]
+        out = [b"" if i is None else i.to_bytes(4, "little") for i in whole]
+        lengths = np.array([len(p) if i is None else 0 for p, i in zip(pieces, whole)], np.int64)
+        widths = np.where(lengths > 0, 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64), 0)
+        for width in np.unique(widths[widths > 0]):
             chosen = np.flatnonzero(widths == width)
-            for ids, at in zip(self._merge_rows([pieces[i] for i in chosen], int(width)), chosen):
-                out[at] = ids
+            ids, ends = self._merge_rows([pieces[i] for i in chosen], int(width))
+            start = 0
+            for at, end in zip(chosen.tolist(), ends):
+                out[at] = ids[start:end]
+                start = end
         return out
 
     def _pair_leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -116,7 +125,8 @@ class ByteBpe:
         found = there & (self.pair_keys[k] == key)
         return np.where(found, (self.pair_ranks[k] << 32) + at, self.none << 32)
 
-    def _merge_rows(self, pieces: list[bytes], width: int) -> list[list[int]]:
+    def _merge_rows(self, pieces: list[bytes], width: int) -> tuple[bytes, list[int]]:
+        """The ids of all rows, one behind the other, and the byte at which each row's end."""
         m, none = len(pieces), self.none << 32
         n = np.array([len(p) for p in pieces], np.int64)
         text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
@@ -126,13 +136,17 @@ class ByteBpe:
         after = np.broadcast_to(columns + 1, (m, width)).copy()
         before = np.broadcast_to(np.arange(-1, width), (m, width + 1)).copy()
         tree = np.full((m, 2 * width), none, np.int64)
-        tree[:, width:] = self._pair_leaf(ids[:, :width], ids[:, 1:], columns, columns + 1 < n[:, None])
+        alive = columns < n[:, None]  # a part starts here
+        tree[:, width : 2 * width - 1] = np.where(
+            alive[:, 1:], self.byte_pairs[text[:, :-1], text[:, 1:]] + columns[:-1], none
+        )
         half = width
         while half > 1:
             tree[:, half // 2 : half] = np.minimum(tree[:, half : 2 * half : 2], tree[:, half + 1 : 2 * half : 2])
             half //= 2
         # flat views: position of a row's cell is its row times the width, plus the column
         leaf, part, step, back = tree.reshape(-1), ids.reshape(-1), after.reshape(-1), before.reshape(-1)
+        starts = alive.reshape(-1)
         rows = np.flatnonzero(tree[:, 1] < none)
         while len(rows):
             at_tree, at_part, at_step = rows * (2 * width), rows * (width + 1), rows * width
@@ -142,6 +156,7 @@ class ByteBpe:
             end = step.take(at_step + gone)
             part[at_part + i] = merged
             step[at_step + i] = end
+            starts[at_step + gone] = False
             back[at_part + end] = i
             left = back.take(at_part + i)
             has_left = left >= 0
@@ -155,17 +170,10 @@ class ByteBpe:
                 children = at_tree + 2 * k
                 leaf[at_tree + k] = np.minimum(leaf.take(children), leaf.take(children + 1))
             rows = rows[leaf.take(at_tree + 1) < none]
-        out = []
-        for row, nexts, size in zip(ids.tolist(), after.tolist(), n.tolist()):
-            found, i = [], 0
-            while i < size:
-                found.append(row[i])
-                i = nexts[i]
-            out.append(found)
-        return out
+        return ids[:, :width][alive].astype("<i4").tobytes(), (4 * np.cumsum(alive.sum(1))).tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts, each match of the pattern by itself."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit numbers, each match of the pattern by itself."""
         known = self.known
         if len(known) >= MEMORY_MATCHES:
             known.clear()
@@ -174,18 +182,23 @@ class ByteBpe:
         fresh = list({w for ws, ps in zip(words, parts) for w, p in zip(ws, ps) if p is None})
         data = [w.encode("utf-8") for w in fresh]
         short = [k for k, b in enumerate(data) if len(b) <= MEMORY_BYTES]
-        found = {fresh[k]: self.merge(b) for k, b in enumerate(data) if len(b) > MEMORY_BYTES}
+        found = {
+            fresh[k]: np.array(self.merge(b), "<i4").tobytes() for k, b in enumerate(data) if len(b) > MEMORY_BYTES
+        }
         merged = dict(zip([fresh[k] for k in short], self.merge_short([data[k] for k in short])))
         known.update(merged)
         found.update(merged)
         for k, (ws, ps) in enumerate(zip(words, parts)):
             if None in ps:
                 parts[k] = [found[w] if p is None else p for w, p in zip(ws, ps)]
-        return [list(chain.from_iterable(ps)) for ps in parts]
+        return [b"".join(ps) for ps in parts]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""
-        return b"".join(map(self.pieces.__getitem__, ids))
+        starts, ends = self.piece_starts[ids], self.piece_ends[ids]
+        lengths = ends - starts
+        shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        return self.piece_bytes[shift + np.arange(len(shift))].tobytes()
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
@@ -213,8 +226,11 @@ def encode_documents(
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 ids = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
+                ends = np.cumsum([0] + [len(b) // 4 for b in ids])
+                flat = np.frombuffer(b"".join(ids), "<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"]
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    names=[id_column, "ids"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -226,16 +242,15 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(rank_file, pattern)
-        table = bpe.pieces
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 column = part.column(1)
-                flat = column.flatten().to_pylist()
+                flat = column.flatten().to_numpy()
                 ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)))
                 out, at = [], 0
                 for end in ends.tolist():
-                    out.append(b"".join(map(table.__getitem__, flat[at:end])))
+                    out.append(bpe.decode(flat[at:end]))
                     at = end
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), column, pa.array(out, pa.binary())], names=[id_column, "ids", "decoded"]
