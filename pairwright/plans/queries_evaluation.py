@@ -99,15 +99,15 @@ def bootstrap_interval(spark, d):
 
 
 @query("WITH " + _GRADED + "," + _per_query("score_a", "qa") + "," + _per_query("score_b", "qb") + """,
-  q AS MATERIALIZED (SELECT job_id, qa.map_10 - qb.map_10 AS diff FROM qa JOIN qb USING (job_id)),""" + _means("diff", 1000, 2718) + """,
-  s AS (SELECT max(mean) FILTER (rn = 25) AS ci_low, max(mean) FILTER (rn = 976) AS ci_high,
+  q AS MATERIALIZED (SELECT job_id, qa.map_10 - qb.map_10 AS diff FROM qa JOIN qb USING (job_id)),""" + _means("diff", 2000, 2718) + """,
+  s AS (SELECT max(mean) FILTER (rn = 50) AS ci_low, max(mean) FILTER (rn = 1951) AS ci_high,
     least(1, 2 * least(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0 END))) AS p FROM ordered)
   SELECT round((SELECT avg(diff) FROM q), 6) AS difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
     round(CAST(p AS DOUBLE), 6) AS p_value, (SELECT count(*) FROM q) AS queries,
     CASE WHEN p >= 0.05 THEN 'tie' WHEN (SELECT avg(diff) FROM q) > 0 THEN 'A' ELSE 'B' END AS better FROM s""")
 def paired_bootstrap(spark, d):
     a, b = (ev.per_query_metrics(graded(spark, d, s), ["job_id"], "candidate_id") for s in "ab")
-    out = ev.paired_bootstrap(a, b, "job_id", "map_10", iterations=1000)
+    out = ev.paired_bootstrap(a, b, "job_id", "map_10")
     return out.select(
         *[F.round(c, 6).alias(c) for c in ("difference", "ci_low", "ci_high", "p_value")], "queries", "better"
     )
@@ -166,7 +166,7 @@ def lift_table(spark, d):
 
 def metrics_report(spark, d):
     """Metric rows with intervals, as they are written to the report file."""
-    return ev.metrics_report(graded(spark, d), "system-a", "job_id", "candidate_id", iterations=200)
+    return ev.metrics_report(graded(spark, d), "system-a", "job_id", "candidate_id")
 
 
 query()(metrics_report)
