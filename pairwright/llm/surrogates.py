@@ -38,12 +38,14 @@ WORDS = (
     ("access_key", r"(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
 )
+#: First letters of the forms of address: most words need not be held against each of them.
+_TITLED = "(?=[" + "".join(sorted({w[0] for w in _ALL.split("|")})) + "])"
 #: What leads to the entity, and the entity; a name is one or two words.
 LED = (
-    ("secret", r"(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?", r"[^\s\"',;]{6,256}+"),
-    ("name_male", rf"(?:{MALE})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
-    ("name_female", rf"(?:{FEMALE})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
-    ("name", rf"(?:{EITHER})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
+    ("secret", r"(?=[apst])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?", r"[^\s\"',;]{6,256}+"),
+    ("name_male", rf"{_TITLED}(?:{MALE})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
+    ("name_female", rf"{_TITLED}(?:{FEMALE})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
+    ("name", rf"{_TITLED}(?:{EITHER})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
 )
 TYPES = [kind for kind, *_ in (*NUMBERS, *WORDS, *LED)]
 _PATTERN = (
@@ -51,7 +53,7 @@ _PATTERN = (
     + "|".join(f"({p})" for _, p in WORDS) + "|" + "|".join(f"({lead})({p})" for _, lead, p in LED) + ")"
 )
 #: Texts without any of these hold no entity.
-_HINT = rf"[@0-9]|password|passwd|pwd|secret|token|api_?key|(?:{_ALL})\.?\s"
+_HINT = rf"[@0-9]|\b(?:A[KS]IA|(?=[apst])(?:password|passwd|pwd|secret|token|api_?key)|{_TITLED}(?:{_ALL})\.?\s)"
 # Marks round an entity and between its groups; the third escapes all three in a text.
 _M, _S, _X = "\ufdd0", "\ufdd1", "\ufdd2"
 
