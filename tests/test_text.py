@@ -119,13 +119,13 @@ def test_nothing_is_cut(spark, aliases):
     company = "Harbour and Meadow Joint Undertaking " + "x" * 500
     text = "\n".join(
         ["an overview of the life of somebody, as told by others", *filler, "Name: Mirela Okonkwo", "mirela@example.org", "Lisbon, Portugal", "EXPERIENCE",
-         f"Platform Engineer, {company}, 1950 - 2012", *[f"- did thing {k}" for k in range(30)], "SKILLS", skills]
+         f"Platform Engineer, {company}, 1971 - 2025", *[f"- did thing {k}" for k in range(30)], "SKILLS", skills]
     )
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     profiles, rows = xt.build_candidate_profiles(docs, "doc_id", aliases, F.lit(AS_OF))
     (one,) = profiles.collect()
     assert one["full_name"] == "Mirela Okonkwo" and one["location"] == "Lisbon, Portugal"
-    assert one["total_experience_years"] == round((62 * 12 + 11) / 12, 2)
+    assert one["total_experience_years"] == round((54 * 12 + 11) / 12, 2)
     held = {r["normalized_name"] for r in rows.collect()}
     assert {"python", "redis", "tool000_kit", "tool079_kit"} <= held
 
