@@ -20,7 +20,11 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead tr ul caption".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN_TAGS = "script style noscript template svg math iframe object canvas head title textarea select button".split()
+#: Their content is no markup and runs to their own end tag.
+RAW_TAGS = frozenset("script style title textarea".split())
+#: Nothing in them is shown, if they are closed.
+UNSHOWN_TAGS = frozenset("noscript template svg math iframe object canvas select button".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset label search".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
@@ -36,13 +40,13 @@ CONTENT_WORDS = frozenset("article content main post entry story articlebody".sp
 CONTEXT, LINKS, LENGTH, SENTENCE, BIAS, ADJACENT, SIBLING = 8.0, 3.0, 0.5, 0.8, -1.5, 0.6, 0.3
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--\s*>|\Z)"
-    r"|<(?P<raw>" + "|".join(UNSHOWN_TAGS) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+>"
     r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW_TAGS}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements that an opening tag ends when they are still open.
@@ -51,7 +55,9 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 @lru_cache(maxsize=4096)
 def element_kind(tag: str, rest: str) -> str:
-    """``boilerplate``, ``content``, ``header``, ``hidden`` or nothing, by tag and attributes."""
+    """``boilerplate``, ``content``, ``header``, ``hidden``, ``unshown`` (if closed) or nothing, by tag and attributes."""
+    if tag in UNSHOWN_TAGS:
+        return "unshown"
     attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(
         r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I
@@ -69,19 +75,51 @@ def element_kind(tag: str, rest: str) -> str:
 class Block:
     """Text between two block boundaries, its context and the numbers of the open elements around it."""
 
-    __slots__ = ("context", "path", "text", "linked")
+    __slots__ = ("context", "path", "text", "linked", "title")
 
-    def __init__(self, text: str, linked: int, context: float, path: tuple[int, ...]) -> None:
-        self.text, self.linked, self.context, self.path = text, linked, context, path
+    def __init__(self, text: str, linked: int, context: float, path: tuple[int, ...], title: bool = False) -> None:
+        self.text, self.linked, self.context, self.path, self.title = text, linked, context, path, title
 
 
 def page_blocks(page: str) -> list[Block]:
-    """Shown blocks of a page in order; white space inside one is a single space, references are decoded."""
+    """Shown blocks of a page in order; white space inside one is a single space, references are decoded.
+
+    Elements of ``UNSHOWN_TAGS`` hide their content only if an end tag of their own closes
+    them: the page is read again for those that turn out to be unclosed.
+    """
+    unclosed: set[int] = set()
+    while True:
+        blocks, more = _blocks(page, unclosed)
+        if more <= unclosed:
+            return blocks
+        unclosed |= more
+
+
+def _blocks(page: str, unclosed: set[int]) -> tuple[list[Block], set[int]]:
+    """Blocks, and the numbers of unclosed elements of ``UNSHOWN_TAGS``; those in ``unclosed`` hide nothing."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, int]] = []  # tag, kind, number
+    stack: list[tuple[str, str, int]] = []  # tag, kind, number, below zero by its place in the page that of an unshown element
     parts: list[str] = []
+    more: set[int] = set()
+    head = None  # whether it is open
     links = linked = number = 0
 
+    def end(first: int, closed: bool = False) -> None:
+        """End the open elements from ``first`` on; only an end tag of its own closes the first of them."""
+        more.update(e[2] for e in stack[first + closed :] if e[2] < 0)
+        del stack[first:]
+
+    def end_head() -> None:
+        """What cannot stand in a head ends it, unless an element in the head hides it."""
+        nonlocal head
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "head":
+                end(k)
+                break
+            if stack[k][1] in ("hidden", "unshown"):
+                return
+        head = False
+
     def close_block() -> None:
         nonlocal linked
         if parts:
@@ -93,19 +131,21 @@ def page_blocks(page: str) -> list[Block]:
                         context, inside = 1.0, True
                     elif kind == "boilerplate" or kind == "header" and not inside:
                         context = -1.0
-                blocks.append(Block(text, min(linked, len(text)), context, tuple(e[2] for e in stack)))
+                blocks.append(Block(text, min(linked, len(text)), context, tuple(e[2] for e in stack), any(e[0] == "h1" for e in stack)))
             parts.clear()
         linked = 0
 
     def shown(text: str) -> None:
         nonlocal linked
-        if text and not any(kind == "hidden" for _, kind, _ in stack):
+        if head and text and not text.isspace():
+            end_head()
+        if text and not any(kind in ("hidden", "unshown") for _, kind, _ in stack):
             parts.append(text)
             if links:
                 linked += len(text)
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         shown(page[at : token.start()])
         at = token.end()
         tag = token["tag"]
@@ -113,40 +153,64 @@ def page_blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag == "br":
+            if head:
+                end_head()
             parts.append("\n")
         elif token["end"]:
-            if tag in BLOCK_TAGS:
+            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            if tag in BLOCK_TAGS and not any(kind == "unshown" for _, kind, _ in stack[: opened if opened >= 0 else None]):
                 close_block()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened >= 0:
+                end(opened, closed=True)
             links = sum(t == "a" for t, _, _ in stack)
         else:
-            if tag in BLOCK_TAGS:
+            empty = tag in VOID_TAGS or token["rest"].endswith("/")
+            if head and tag not in HEAD_TAGS:
+                end_head()
+            if tag in RAW_TAGS:
+                # only in drawings and formulas can these be empty
+                if not (empty and any(t in ("svg", "math") for t, _, _ in stack)):
+                    raw_end = _RAW_END[tag].search(page, at)
+                    at = raw_end.end() if raw_end else len(page)
+                continue
+            if tag in BLOCK_TAGS and not any(kind == "unshown" for _, kind, _ in stack):
                 close_block()
                 # an open paragraph ends here, with the inline elements in it
                 for k in range(len(stack) - 1, -1, -1):
                     t = stack[k][0]
                     if t == "p" or t in _ENDS.get(tag, ()):
-                        del stack[k:]
+                        end(k)
                     elif t in BLOCK_TAGS:
                         break
                 links = sum(t == "a" for t, _, _ in stack)
-            if tag not in VOID_TAGS and not token["rest"].endswith("/"):
+            if tag == "head":
+                if head is None and not empty:
+                    head = True
+                    stack.append((tag, "hidden", 0))
+            elif not empty:
                 number += 1
-                stack.append((tag, element_kind(tag, token["rest"]), number))
+                kind, own = element_kind(tag, token["rest"]), number
+                if kind == "unshown":
+                    own = -1 - token.start()
+                    kind = "" if own in unclosed else kind
+                stack.append((tag, kind, own))
                 links += tag == "a"
     shown(page[at:])
     close_block()
-    return blocks
+    end(0)
+    return blocks, more
 
 
-def log_odds(block: Block) -> float:
-    """Of a block being content: nearest telling ancestor, share of linked text, length and sentence marks."""
+def log_odds(block: Block, marked: bool = True) -> float:
+    """Of a block being content: nearest telling ancestor, share of linked text, length and sentence marks.
+
+    A block without a telling ancestor is held to be boilerplate only beside content that is
+    ``marked`` as such in its page, and if it is no title.
+    """
     size = len(block.text)
+    bias = BIAS if block.context or marked and not block.title else 0.0
     return (
-        BIAS + CONTEXT * block.context - LINKS * block.linked / size + LENGTH * math.log2(1 + size / 40)
+        bias + CONTEXT * block.context - LINKS * block.linked / size + LENGTH * math.log2(1 + size / 40)
         + SENTENCE * (block.text[-1] in ".!?…\"”»)")
     )
 
@@ -241,7 +305,8 @@ def main_text(page: str) -> str:
     """The content blocks of a page, one per line; empty if there are none."""
     blocks = page_blocks(page)
     # softplus(z) - softplus(-z) = z: the classifier's two costs differ by its log odds
-    odds = [log_odds(b) for b in blocks]
+    marked = any(b.context > 0 for b in blocks)
+    odds = [log_odds(b, marked) for b in blocks]
     kept = source_side(odds, smoothness(blocks)) if any(z > 0 for z in odds) else [False] * len(blocks)
     return "\n".join(b.text for b, k in zip(blocks, kept) if k)
 

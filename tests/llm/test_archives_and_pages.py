@@ -119,6 +119,37 @@ def test_main_text(page):
     assert html_text.main_text(page) == CASES[page]
 
 
+_P = "<p>Whole text of it, with <b>all</b> words.</p>"
+_T = "Whole text of it, with all words."
+LOST = {
+    # the end tag of the head may be left out, and so may the body's start tag
+    f"<html><head><title>no</title><body><article>{_P}</article></body></html>": _T,
+    f"<head><meta charset=x><script>no()</script><title>no</title><article>{_P}</article>": _T,
+    f"<head><title>no</title><noscript><link><body><article>{_P}</article>": _T,
+    f"<head><title>no</title><noscript><p>no</p></noscript></head><article>{_P}</article>": _T,
+    # unclosed or closed in themselves
+    **{f"<article><{t}/>{_P}<{t} a='b' />{_P}</article>": f"{_T}\n{_T}" for t in ("svg", "math", "object", "canvas", "iframe", "select")},
+    **{f"<article><p>A.</p><{t} aria-hidden=true>{_P}</article><{t}>no</{t}>": f"A.\n{_T}" for t in ("svg", "object", "canvas", "button", "template")},
+    f"<svg><article>{_P}</article>": _T,
+    f"<article><svg><title/><style/><path d='M0'/></svg>{_P}<!-->{_P}<!--->{_P}</article>": f"{_T}\n{_T}\n{_T}",
+    # names that only begin like others
+    f"<head-line>x</head-line><article><svg-icon name=a></svg-icon><button-group>B.</button-group>{_P}<title-bar></title-bar></article>": f"B.\n{_T}",
+    # closed ones still hide all, and break no text
+    f"<article><p>a <button><div>no</div></button><svg><svg></svg>no</svg><select><option>no<option>no</select>b</p><object><p>no</p></object>{_P}</article>": f"a b\n{_T}",
+    f"<article><textarea><p>no</p></textarea>{_P}<script>'</scripted>'; no</article>": _T,
+    # nothing tells what is content
+    "<body><h1>A title of some forty characters, no more</h1><p>Short one</p><div>" + "Long text of it. " * 20 + "</div><ul><li><a href=x>Home</a></ul>":
+        "A title of some forty characters, no more\nShort one\n" + ("Long text of it. " * 20).strip(),
+    f"<div><h1>A title of some forty characters, no more</h1></div><article>{_P}</article><div>Beside it</div>":
+        f"A title of some forty characters, no more\n{_T}",
+}
+
+
+@pytest.mark.parametrize("page", LOST)
+def test_no_text_is_lost(page):
+    assert html_text.main_text(page) == LOST[page]
+
+
 def test_long_page_is_whole():
     words = " ".join(f"word{i}" for i in range(60_000))
     page = f"<nav>menu</nav><article><p>{words}</p>" + "<p>line</p>" * 3000 + "</article>"
