@@ -124,8 +124,11 @@ def _number(digest: Column, at: Column, modulus: int) -> Column:
     return F.conv(F.substring(digest, (at * 3) % 124 + 1, F.lit(4)), 16, 10).cast("int") % modulus
 
 
-def _alike(text: Column, hexadecimal: Column, digest: Column) -> Column:
-    """Digits for digits and letters for letters of the same case; hexadecimal strings stay so."""
+def _alike(text: Column, hexadecimal: Column, signs: Column, digest: Column) -> Column:
+    """Digits for digits and letters for letters of the same case; hexadecimal strings stay so.
+
+    Signs stay, or are letters and digits where ``signs`` is true.
+    """
     pick = lambda letters, i: F.substring(
         F.lit(letters), _number(digest, i, len(letters)) + 1, F.lit(1)
     )
@@ -136,6 +139,7 @@ def _alike(text: Column, hexadecimal: Column, digest: Column) -> Column:
             .when(c.rlike("[0-9]"), pick("0123456789", i))
             .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
             .when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", i))
+            .when(signs, pick("abcdefghijklmnopqrstuvwxyz0123456789", i))
             .otherwise(c),
         ),
         "",
@@ -171,8 +175,10 @@ def _mod97(text: Column) -> Column:
 def with_draw(entities: DataFrame, key: str) -> DataFrame:
     """``entities(kind, value, attempt)`` with ``drawn``, a canonical surrogate.
 
-    It has the kind, gender, script, length and check digits of the value. What several
-    formats need is a column of its own, so that it is worked out once per row.
+    It has the kind, gender, script, length and check digits of the value. What has few draws
+    of its own shape gets more with the attempts: signs of secrets are drawn too, at once if there
+    is nothing else, secrets and addresses get longer, IP addresses come from a larger block.
+    What several formats need is a column of its own, so that it is worked out once per row.
     """
     kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt")
     salted = F.concat_ws("\0", F.lit(key), kind, value, attempt.cast("string"))
@@ -182,7 +188,9 @@ def with_draw(entities: DataFrame, key: str) -> DataFrame:
         entities.withColumn("digest", F.concat(F.sha2(salted, 256), F.sha2(F.concat(salted, F.lit("\0more")), 256)))
         .withColumn("shape", F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(value))
         .withColumn("hexadecimal", (kind == "secret") & F.col("shape").rlike("^[0-9a-f]+$"))
-        .withColumn("alike", _alike(F.col("shape"), F.col("hexadecimal"), digest))
+        .withColumn("signs", (kind == "secret") & ((attempt > 1) | ~F.col("shape").rlike(r"[0-9\p{L}]")))
+        .withColumn("alike", _alike(F.col("shape"), F.col("hexadecimal"), F.col("signs"), digest))
+        .withColumn("longer", F.concat(alike, F.substring(digest, F.lit(65), F.greatest(attempt - 2, F.lit(0)))))
         .withColumn(
             "free", F.concat(F.substring(value, 1, 1), F.substring(alike, F.lit(2), F.length(value) - 2))
         )
@@ -192,10 +200,11 @@ def with_draw(entities: DataFrame, key: str) -> DataFrame:
     )
     end = F.substring_index(domain, ".", -1)
     email = F.concat(
-        alike, F.lit("@m"), F.substring(F.sha2(F.concat_ws("\0", F.lit(key), F.lit("domain"), domain), 256), 1, 8),
+        F.col("longer"), F.lit("@m"), F.substring(F.sha2(F.concat_ws("\0", F.lit(key), F.lit("domain"), domain), 256), 1, 8),
         F.lit(".example."), F.when(end.isin("com", "net", "org"), end).otherwise("com"),
     )
-    ip = F.concat(F.lit("10"), *(F.concat(F.lit("."), _number(digest, F.lit(k), 256).cast("string")) for k in (1, 2, 3)))
+    block = F.when(attempt > 2, _number(digest, F.lit(0), 16) + 240).otherwise(10).cast("string")
+    ip = F.concat(block, *(F.concat(F.lit("."), _number(digest, F.lit(k), 256).cast("string")) for k in (1, 2, 3)))
     card = F.when(
         _luhn(value) % 10 == 0,
         F.concat(free, ((10 - _luhn(F.concat(free, F.lit("0"))) % 10) % 10).cast("string")),
@@ -230,7 +239,7 @@ def with_draw(entities: DataFrame, key: str) -> DataFrame:
     drawn = (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(alike, 2, 8))).when(kind == "iban", iban)
-        .when(kind == "access_key", key_id).when(kind == "secret", alike).otherwise(name)
+        .when(kind == "access_key", key_id).when(kind == "secret", F.col("longer")).otherwise(name)
     )
     return entities.select("kind", "value", "attempt", drawn.alias("drawn"))
 

@@ -80,6 +80,30 @@ def test_surrogates_are_distinct_when_draws_collide(spark):
     assert len({tuple(r) for r in other} & {tuple(r) for r in found}) < 40
 
 
+def test_draws_of_few_shapes_end(spark):
+    """Each has no or hardly a draw of its own shape that is free; it gets others in a few attempts."""
+    values = [("secret", v) for v in ("********", "------", "••••••", "٣٣٣٣٣٣")]
+    values += [("secret", f"*****{c}") for c in "0123456789abcdefghijklmnopqrstuvwxyz"]
+    values += [("email", f"{c}@x.org") for c in "0123456789"]
+    open_, taken = spark.createDataFrame(values, "kind string, value string"), set(values)
+    for attempt in (0, 2, 4):
+        drawn = surrogates.with_draw(open_.withColumn("attempt", F.lit(attempt)), "k").collect()
+        if attempt == 0:
+            assert all(r.drawn != r.value for r in drawn if r.value in ("********", "------", "••••••", "٣٣٣٣٣٣"))
+        else:
+            assert not {(r.kind, r.drawn) for r in drawn} & taken
+    assert len({r.drawn for r in drawn}) == len(values)
+    found = surrogates.assign_surrogates(open_, "k").collect()
+    assert len(found) == len(values) == len({(r.kind, r.surrogate) for r in found})
+    assert not {(r.kind, r.surrogate) for r in found} & taken
+
+
+def test_masked_passwords_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "password: ******** and token = ------ end")], "doc_id long, text string")
+    row = surrogates.replace_personal_data(docs, "k").collect()[0]
+    assert re.fullmatch(r"password: [a-z0-9]{8} and token = [a-z0-9]{6} end", row.text) and row.n_entities == 2
+
+
 def test_surrogates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.replace_personal_data(docs, "k").count() == 0
