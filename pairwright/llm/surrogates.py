@@ -24,14 +24,24 @@ ENDINGS = {
     ("greek", "given_male"): "ος", ("greek", "given_female"): "α", ("greek", "given"): "ις", ("greek", "family"): "ου",
 }
 
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}+"
+#: A capitalised word without the ``'s`` behind it, white space within a paragraph, and a name: initials and words.
+_NAME_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|(?!['’][sS](?!\p{L}))['’-](?=\p{L}))++"
+_GAP = r"(?:\h++(?:\R\h*+)?+|\R\h*+)"
+_INITIALS = rf"(?:\p{{Lu}}(?:\.{_GAP}?+|{_GAP}))*+"
+_NAME = rf"{_INITIALS}{_NAME_WORD}(?:{_GAP}{_INITIALS}{_NAME_WORD})*+"
 _ALL = f"{MALE}|{FEMALE}|{EITHER}"
 #: Patterns that start at a digit, bracket or plus sign, and at a word; at one place the first that matches counts.
 NUMBERS = (
     ("ip", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?:\d{13,19}|\d{4}(?:(?: \d{4}){2} |(?:-\d{4}){2}-)\d{1,7}|\d{4}(?: \d{6} |-\d{6}-)\d{5})(?!\w)"),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"),
+    (
+        "phone",
+        # grouped behind a country code; as in North America; E.164, also with a gap behind the country code; in pairs
+        r"(?:\+[2-9]\d{0,2}(?=(?:[ .()-]{0,3}\d){7})(?:[ .-]\d{1,9}|[ .-]?\(\d{1,4}\)[ .-]?\d{1,9}){2,6}"
+        r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}"
+        r"|\+\d{1,3}[ .-]?\d{6,12}|0\d(?:[ .-]\d{2}){4})(?!\w)",
+    ),
 )
 WORDS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,127}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
@@ -40,12 +50,16 @@ WORDS = (
 )
 #: First letters of the forms of address: most words need not be held against each of them.
 _TITLED = "(?=[" + "".join(sorted({w[0] for w in _ALL.split("|")})) + "])"
-#: What leads to the entity, and the entity; a name is one or two words.
+_SECRET = r"(?=[apstAPST])(?i:password|passwd|pwd|secret|token|api_?key)"
+#: What leads to the entity, and the entity; a secret ends at its quote or delimiter.
 LED = (
-    ("secret", r"(?=[apst])(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?", r"[^\s\"',;]{6,256}+"),
-    ("name_male", rf"{_TITLED}(?:{MALE})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
-    ("name_female", rf"{_TITLED}(?:{FEMALE})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
-    ("name", rf"{_TITLED}(?:{EITHER})\.?\s", rf"{_NAME}(?:\s{_NAME})?"),
+    (
+        "secret", rf"{_SECRET}\s{{0,2}}[=:]\s{{0,2}}[\"']?",
+        r"(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|[^\s\"',;]{6,}+",
+    ),
+    ("name_male", rf"{_TITLED}(?:{MALE})\.?{_GAP}", _NAME),
+    ("name_female", rf"{_TITLED}(?:{FEMALE})\.?{_GAP}", _NAME),
+    ("name", rf"{_TITLED}(?:{EITHER})\.?{_GAP}", _NAME),
 )
 TYPES = [kind for kind, *_ in (*NUMBERS, *WORDS, *LED)]
 _PATTERN = (
@@ -53,7 +67,7 @@ _PATTERN = (
     + "|".join(f"({p})" for _, p in WORDS) + "|" + "|".join(f"({lead})({p})" for _, lead, p in LED) + ")"
 )
 #: Texts without any of these hold no entity.
-_HINT = rf"[@0-9]|\b(?:A[KS]IA|(?=[apst])(?:password|passwd|pwd|secret|token|api_?key)|{_TITLED}(?:{_ALL})\.?\s)"
+_HINT = rf"[@0-9]|\b(?:A[KS]IA|{_SECRET}|{_TITLED}(?:{_ALL})\.?[\s\h])"
 # Marks round an entity and between its groups; the third escapes all three in a text.
 _M, _S, _X = "\ufdd0", "\ufdd1", "\ufdd2"
 
@@ -75,15 +89,17 @@ def _unmarked(text: Column) -> Column:
     return text
 
 
+def _part(kind: Column | None, surface: Column) -> Column:
+    return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), surface.alias("surface"))
+
+
 def text_parts(text: Column) -> Column:
     """``array<struct<kind, surface>>``: the text cut at its entities; ``kind`` is null between them.
 
-    The words of a name are parts of their own: the last is a family name, one before it a
-    given name with the gender of the form of address.
+    The words of a name are parts of their own: the last is a family name, those before it and
+    initials are given names with the gender of the form of address.
     """
-    part = lambda kind, surface: F.struct(
-        (kind if isinstance(kind, Column) else F.lit(kind).cast("string")).alias("kind"), surface.alias("surface")
-    )
+    part = _part
     matched = F.transform(
         F.split(_marked(text), _M, -1),
         lambda p, i: F.when(i % 2 == 0, part(None, p)).otherwise(
@@ -98,17 +114,38 @@ def text_parts(text: Column) -> Column:
     )
 
     def named(p: Column) -> Column:
-        words = F.split(p["surface"], r"\s")
-        given = part(F.replace(p["kind"], F.lit("name"), F.lit("given")), F.element_at(words, 1))
-        gap = part(None, F.substring(p["surface"], F.length(F.element_at(words, 1)) + 1, F.lit(1)))
-        family = part("family", F.element_at(words, -1))
-        return F.when(F.size(words) > 1, F.array(given, gap, family)).otherwise(F.array(family))
+        pieces = F.split(F.regexp_replace(p["surface"], rf"({_NAME_WORD}|\p{{Lu}})", f"{_S}$1{_S}"), _S, -1)
+        return F.transform(
+            pieces,
+            lambda w, i: F.when(i % 2 == 0, part(None, w))
+            .when(i == F.size(pieces) - 2, part(F.lit("family"), w))
+            .otherwise(part(F.replace(p["kind"], F.lit("name"), F.lit("given")), w)),
+        )
 
     return F.flatten(
         F.transform(matched, lambda p: F.when(p["kind"].startswith("name"), named(p)).otherwise(F.array(p)))
     )
 
 
+#: Kinds of the words of a name, and where a bare one starts: behind no letter, digit or line, but for an escape.
+_NAME_KINDS = ("family", "given_male", "given_female", "given")
+_BARE = rf"((?:(?<={_X}[abc])|(?<![\p{{L}}\p{{N}}_])){_NAME_WORD})(?![\p{{N}}_])"
+
+
+def with_bare_names(parts: Column, surrogates: Column) -> Column:
+    """``parts`` with the bare mentions of names that ``surrogates`` holds, keyed by kind and value, as parts of their own."""
+
+    def cut(p: Column) -> Column:
+        def bare(w: Column) -> Column:
+            keys = [(kind, F.concat(F.lit(kind + "\0"), F.lower(w))) for kind in _NAME_KINDS]
+            return F.coalesce(*(F.when(F.map_contains_key(surrogates, key), F.lit(kind)) for kind, key in keys))
+
+        pieces = F.split(F.regexp_replace(p["surface"], _BARE, f"{_S}$1{_S}"), _S, -1)
+        return F.transform(pieces, lambda w, i: _part(F.when(i % 2 == 1, bare(w)), w))
+
+    return F.flatten(F.transform(parts, lambda p: F.when(p["kind"].isNull(), cut(p)).otherwise(F.array(p))))
+
+
 def canonical(kind: Column, surface: Column) -> Column:
     """What two mentions of one entity have in common: digits of numbers, lower case of names and addresses."""
     return (
@@ -210,7 +247,7 @@ def with_draw(entities: DataFrame, key: str) -> DataFrame:
         F.concat(free, ((10 - _luhn(F.concat(free, F.lit("0"))) % 10) % 10).cast("string")),
     ).otherwise(F.concat(F.substring(value, 1, 1), F.substring(alike, F.lit(2), F.length(value))))
     # a country code of up to three digits stays; the subscriber's number starts with 2 to 9
-    lead = F.greatest(F.length(value) - 10, F.lit(0))
+    lead = F.least(F.greatest(F.length(value) - 10, F.lit(0)), F.lit(3))
     phone = F.concat(
         F.substring(value, F.lit(1), lead), (_number(digest, F.lit(0), 8) + 2).cast("string"),
         F.substring(alike, lead + 2, F.length(value)),
@@ -258,7 +295,8 @@ def rendered(kind: Column, surface: Column, value: Column) -> Column:
         "",
     )
     cased = (
-        F.when((F.upper(surface) == surface) & (F.length(surface) > 1), F.upper(value))
+        F.when((kind != "family") & (F.length(surface) == 1), F.upper(F.substring(value, 1, 1)))
+        .when((F.upper(surface) == surface) & (F.length(surface) > 1), F.upper(value))
         .when(F.lower(surface) == surface, value)
         .otherwise(F.initcap(value))
     )
@@ -303,7 +341,8 @@ def replace_personal_data(
     """``docs`` with every entity of ``text_column`` replaced, and ``n_entities``, the mentions replaced.
 
     Patterns find e-mail and IP addresses, phone, card and social security numbers, IBANs,
-    keys and secrets, and names behind a form of address. An entity (:func:`canonical`) has one
+    keys and secrets, names behind a form of address, and other mentions of such a name's words
+    in its document; of an initial's surrogate the first letter is shown. An entity (:func:`canonical`) has one
     surrogate in the whole corpus, whatever the form of its mentions; two entities of a kind
     never share one and no surrogate is itself an entity of the corpus (:func:`assign_surrogates`).
     Without ``key`` surrogates cannot be drawn again.
@@ -337,6 +376,10 @@ def replace_personal_data(
     held = docs.where(hinted).join(by_document, F.col(id_column).eqNullSafe(F.col("_id")), "left").select(
         *columns, "_surrogates", F.when(F.col("_surrogates").isNotNull(), parts).alias("_parts")
     )
+    named = F.exists(F.map_keys("_surrogates"), lambda k: k.startswith("family\0"))
+    held = held.withColumn(
+        "_parts", F.when(named, with_bare_names(F.col("_parts"), F.col("_surrogates"))).otherwise(F.col("_parts"))
+    )
     replaced = held.select(
         *(
             F.when(F.col("_parts").isNull(), text)

@@ -104,6 +104,39 @@ def test_masked_passwords_are_replaced(spark):
     assert re.fullmatch(r"password: [a-z0-9]{8} and token = [a-z0-9]{6} end", row.text) and row.n_entities == 2
 
 
+_JWT = "eyJhbGciOi." + "Q7x_" * 2000 + "tailEnd"
+WHOLE = {
+    f"token={_JWT} end": (r"token=\S{8018} end", 1),
+    'TOKEN = "9233A8EC41D0" Password: Hunter22xx; API_KEY=\'some, Key 77\'': (
+        r'TOKEN = "\d{4}[A-Z]\d[A-Z]{2}\d\d[A-Z]\d" Password: [A-Z][a-z]{5}\d\d[a-z]{2}; API_KEY=\'[a-z]{4}, [A-Z][a-z]{2} \d\d\'', 3),
+    "Dr Mary Jane Watson came. Watson's or WATSON, not Watsonville, watson or Watson_1; Mary": (
+        r"Dr [A-Z]\w+el [A-Z]\w+el (?P<n>[A-Z]\w+ver) came\. (?P=n)'s or [A-Z]+VER, not Watsonville, watson or Watson_1; [A-Z]\w+el", 6),
+    "Mr. J. Smith; Mr.  Adam  Smith; Mr J.R.R. Tolkien\n\nHere is Smith.": (
+        r"Mr\. [A-Z]\. (?P<n>\w+ver); Mr\.  \w+n  (?P=n); Mr [A-Z]\.[A-Z]\.[A-Z]\. \w+ver\n\nHere is (?P=n)\.", 9),
+    "Prof. " + "Anna-Lena " * 3000 + "Verylongfamilynameoverthirtyoneletters left": (r"Prof\. (?:\w+el ){3000}\w+ver left", 3001),
+    "+15551234567 or +1 (555) 123-4567, +33 1 23 45 67 89, +33123456789 or 01 23 45 67 89; +49 (0)30 1234567": (
+        r"\+(\d{11}) or \+\d \(\d{3}\) \d{3}-\d{4}, \+(\d\d \d(?: \d\d){4}), \+(\d{11}) or \d\d(?: \d\d){4}; \+\d\d \(\d\)\d\d \d{7}", 6),
+}
+
+
+def test_long_and_upper_case_entities_are_whole(spark):
+    docs = spark.createDataFrame(list(enumerate(WHOLE)), "doc_id long, text string")
+    found = {r.doc_id: r for r in surrogates.replace_personal_data(docs, "k").collect()}
+    private = re.compile(r"Q7x_|tailEnd|9233A8EC|Hunter|some, Key|Mary|Jane|Watson's|WATSON|Adam|Smith|Tolkien|Lena|Verylong|5551234567|123-4567|23 45 67|1234567")
+    for i, (pattern, n) in enumerate(WHOLE.values()):
+        assert re.fullmatch(pattern, found[i].text), found[i].text[:300]
+        assert found[i].n_entities == n and not private.search(found[i].text)
+    numbers = re.findall(r"\+([\d ()-]*\d)", found[5].text)
+    plain = [re.sub(r"\D", "", x) for x in numbers]
+    assert plain[0] == plain[1] and plain[2].startswith(plain[3])
+
+
+def test_secrets_with_the_same_start_are_two(spark):
+    docs = spark.createDataFrame([(1, "token=" + "a1" * 200 + "x token=" + "a1" * 200 + "y")], "doc_id long, text string")
+    one, two = re.findall(r"token=(\S+)", surrogates.replace_personal_data(docs, "k").collect()[0].text)
+    assert one != two and len(one) == len(two) == 401
+
+
 def test_surrogates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.replace_personal_data(docs, "k").count() == 0
