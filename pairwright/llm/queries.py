@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cotraining, exact_dedup, html_text, jaccard, near_vectors, packing, surrogates, warc
+from . import (
+    bpe,
+    chat,
+    cotraining,
+    divergence,
+    exact_dedup,
+    html_text,
+    jaccard,
+    near_vectors,
+    packing,
+    ring,
+    surrogates,
+    vector_codes,
+    warc,
+)
 from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +182,114 @@ def op3_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents from two views taught by the labels and by each other."""
     return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op11_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document; the shards' row counts are at most one apart."""
+    placed = ring.ring_shards(table(spark, sf_dir, "documents"), ring.RingSpec(shards=8, slack=0.0))
+    return placed.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    r"""
+    WITH read AS (
+      SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+      FROM documents
+    ),
+    words AS (SELECT id, lang, source, unnest(words) AS term FROM read),
+    kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+    langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    found AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS (
+      SELECT g.lang, g.source, coalesce(any_value(l.v), 0) AS v, any_value(l.total) AS lang_total,
+        coalesce(sum(f.n), 0)::HUGEINT AS total
+      FROM (SELECT DISTINCT lang, source FROM read) g
+      LEFT JOIN langs l ON l.lang = g.lang LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source
+      GROUP BY g.lang, g.source
+    ),
+    shares AS (
+      SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n,
+        (1 + (1000000000::HUGEINT * (coalesce(f.n, 0) + 5)) // (g.total + 5 * g.v))::BIGINT AS p,
+        (1 + (1000000000::HUGEINT * (k.n + 5)) // (g.lang_total + 5 * g.v))::BIGINT AS q
+      FROM groups g JOIN kept k ON k.lang = g.lang
+      LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term
+    ),
+    sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ),
+    parts AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM parts QUALIFY part = 'pair' OR rank <= 50
+    """
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from each other one, and the terms it uses more than its language."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Codebooks of 8 parts and 16 entries, one pair of steps per round, then the codes."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""
+    far{r} AS (
+      SELECT x.vec_id, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d
+      FROM x JOIN book{r} c ON x.part = c.part AND x.place = c.place GROUP BY ALL
+    ),
+    near{r} AS (
+      SELECT vec_id, part, entry, d FROM far{r}
+      QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+    )"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""
+    sum{r} AS (
+      SELECT n.part, n.entry, x.place, sum(x.v)::BIGINT AS s, count(*) AS n
+      FROM near{r} n JOIN x ON x.vec_id = n.vec_id AND x.part = n.part GROUP BY ALL
+    ),
+    book{r + 1} AS (
+      SELECT b.part, b.entry, b.place, coalesce((s - ((s % n) + n) % n) // n, v) AS v
+      FROM book{r} b LEFT JOIN sum{r} t ON b.part = t.part AND b.entry = t.entry AND b.place = t.place
+    )"""
+            )
+    return f"""
+    WITH kept AS (
+      SELECT vec_id, label, embedding, len(embedding) // 8 AS width, row_number() OVER (ORDER BY vec_id) - 1 AS nth
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
+    ),
+    x AS MATERIALIZED (
+      SELECT vec_id, nth, (i - 1) // width AS part, (i - 1) % width AS place,
+        floor(4096 * embedding[i]::DOUBLE)::BIGINT AS v
+      FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+    ),
+    book0 AS (SELECT part, nth AS entry, place, v FROM x WHERE nth < 16),{','.join(steps)},
+    codes AS (
+      SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+      FROM near{rounds} GROUP BY vec_id
+    )
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+      (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256
+    FROM codes JOIN kept USING (vec_id)
+    """
+
+
+@query(_codes_sql())
+def op13_grid_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by codebooks fitted on all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    codebooks = vector_codes.fit_codebooks(vectors)
+    return vector_codes.encode_vectors(vectors, codebooks).withColumn(
+        "codebooks_sha256", F.lit(vector_codes.codebooks_sha256(codebooks))
+    )
