@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ _BYTES = bytes(
 )
 #: Bytes of a text that are split at a time, and terms that a task holds before it passes them on.
 _SLICE, _HELD = 1 << 20, 1 << 19
+#: Steps of paths that are one tree, at most, or else one row; corrections held before they are summed.
+_CELLS = 1 << 20
 
 
 def _slices(text: bytes) -> Iterator[list[bytes]]:
@@ -49,15 +52,18 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts ``lang, source, term, n, docs``; a group that is met gives a row without term as well."""
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def told() -> pa.RecordBatch:
-        rows = [
-            (lang, source, term, n, docs[term])
-            for (lang, source), (occurrences, docs) in counts.items()
-            for term, n in (*occurrences.items(), (None, 0))
-        ]
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+    def told() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (occurrences, docs) in counts.items():
+            size = len(occurrences) + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size),
+                    pa.array([*occurrences, None], pa.binary()), pa.array([*occurrences.values(), 0], pa.int64()),
+                    pa.array([*map(docs.__getitem__, occurrences), 0], pa.int64()),
+                ],
+                names=["lang", "source", "term", "n", "docs"],
+            )
+        counts.clear()
 
     for batch in batches:
         for lang, source, text in zip(*batch.columns):
@@ -68,12 +74,10 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(terms)
             docs.update(seen)
             if len(seen) > _HELD:
-                yield told()
-                counts.clear()
+                yield from told()
         if sum(len(c) for c, _ in counts.values()) > _HELD:
-            yield told()
-            counts.clear()
-    yield told()
+            yield from told()
+    yield from told()
 
 
 def _share(n: Column, total: Column, terms: Column, spec: DivergenceSpec) -> Column:
@@ -83,87 +87,69 @@ def _share(n: Column, total: Column, terms: Column, spec: DivergenceSpec) -> Col
     return F.when(terms > 0, 1 + F.call_function("div", above, below))
 
 
-class _PatternTree:
-    """Paths of (source, share, share without the term), inserted in order of path.
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(every), np.int64)
+    np.add.at(sums, which, np.concatenate(values))
+    return every, sums
 
-    As the paths come in order, only the nodes of the last one can still grow. A node
-    that is left is settled: with every ancestor it corrects that pair of sources once,
-    times the number of terms that pass it, and hands this number to its parent.
-    """
 
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.path: list[tuple[str, int, int]] = []
-        self.passed: list[int] = []
-        self.places = np.zeros(16, np.int64)
-        self.shares = np.zeros(16, np.int64)
-        self.bases = np.zeros(16, np.int64)
-        self.sums: dict[int, np.ndarray] = {}
-
-    def insert(self, path: list[tuple[str, int, int]], terms: int) -> None:
-        same = 0
-        while same < len(path) and same < len(self.path) and path[same] == self.path[same]:
-            same += 1
-        self.settle(same)
-        if len(path) > len(self.places):
-            for name in ("places", "shares", "bases"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * len(path)))
-        for depth in range(same, len(path)):
-            source, share, base = path[depth]
-            self.places[depth] = self.ids.setdefault(source, len(self.ids))
-            self.shares[depth], self.bases[depth] = share, base
-            self.path.append(path[depth])
-            self.passed.append(0)
-        if path:
-            self.passed[-1] += terms
-
-    def settle(self, depth: int) -> None:
-        """Leave all nodes below ``depth``."""
-        while len(self.path) > depth:
-            _, share, base = self.path.pop()
-            terms, at = self.passed.pop(), len(self.path)
-            if not at:
-                continue
-            self.passed[-1] += terms
-            shares, bases, places = self.shares[:at], self.bases[:at], self.places[:at]
-            change = np.abs(share - shares) - np.abs(share - bases) - np.abs(base - shares) + np.abs(base - bases)
-            sums = self.sums.get(int(self.places[at]))
-            if sums is None or len(sums) < len(self.ids):
-                grown = np.zeros(2 * len(self.ids), np.int64)
-                if sums is not None:
-                    grown[: len(sums)] = sums
-                sums = self.sums[int(self.places[at])] = grown
-            sums[places] += terms * change
-
-    def corrections(self, lang: str) -> pa.RecordBatch:
-        """``lang, source, item, value`` so far, each pair of sources once; the sums start anew."""
-        names = list(self.ids)
-        rows = [(names[a], names[int(b)], int(v[b])) for a, v in self.sums.items() for b in np.flatnonzero(v)]
-        self.sums = {}
-        sources, items, values = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(rows), pa.string()), pa.array(sources, pa.string()), pa.array(items, pa.string()),
-             pa.array(values, pa.int64())],
-            names=["lang", "source", "item", "value"],
-        )
+def _tree_corrections(paths: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corrections per pair of places, as ``place * 2**32 + place``, of paths in order.
+
+    ``paths[row, step]`` is (place, share, share without the term), filled up behind the
+    row's depth. Equal beginnings of rows that follow each other are one path of the tree:
+    a step that differs from the row before, or stands behind such a step, begins a node,
+    and the rows up to the next node of its depth pass it. A node corrects each of its
+    ancestors once, times the rows that pass.
+    """
+    rows, steps, _ = paths.shape
+    opens = np.ones((rows, steps), bool)
+    opens[1:] = np.logical_or.accumulate((paths[1:] != paths[:-1]).any(2), 1)
+    keys, values, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for step in range(1, steps):
+        at = np.flatnonzero(opens[:, step])
+        passing = np.add.reduceat((depths > step).astype(np.int64), at)
+        at, passing = at[depths[at] > step], passing[depths[at] > step]
+        place, share, base = paths[at, step, :].T
+        for above in range(step):
+            other, other_share, other_base = paths[at, above, :].T
+            change = np.abs(share - other_share) - np.abs(share - other_base)
+            change += np.abs(base - other_base) - np.abs(base - other_share)
+            keys.append((place << 32) + other)
+            values.append(passing * change)
+            held += len(at)
+            if held > _CELLS:
+                each, sums = _summed(keys, values)
+                keys, values, held = [each], [sums], 0
+    return _summed(keys, values)
 
 
 def _grow_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair corrections of ``lang, path, terms`` rows that come in this order."""
-    tree, here = _PatternTree(), None
+    """Pair corrections ``lang, place, item_place, value`` of ``lang, path`` rows that come in this order."""
     for batch in batches:
-        for lang, path, terms in zip(*batch.columns):
-            if lang.as_py() != here:
-                if here is not None:
-                    tree.settle(0)
-                    yield tree.corrections(here)
-                tree, here = _PatternTree(), lang.as_py()
-            tree.insert([tuple(step.values()) for step in path.as_py()], terms.as_py())
-        if sum(map(len, tree.sums.values())) > 8 * _HELD:
-            yield tree.corrections(here)
-    if here is not None:
-        tree.settle(0)
-        yield tree.corrections(here)
+        langs = batch.column(0).to_pylist()
+        depths = pc.list_value_length(batch.column(1)).to_numpy() // 3
+        flat = batch.column(1).flatten().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(3 * depths)])
+        at = 0
+        while at < len(langs):
+            end, widest = at, 1
+            while end < len(langs) and langs[end] == langs[at]:
+                widest = max(widest, int(depths[end]))
+                if end > at and (end + 1 - at) * widest > _CELLS:
+                    break
+                end += 1
+            depth = depths[at:end]
+            paths = np.zeros((end - at, int(depth.max()), 3), np.int64)
+            paths[np.arange(paths.shape[1]) < depth[:, None]] = flat[starts[at] : starts[end]].reshape(-1, 3)
+            keys, sums = _tree_corrections(paths, depth)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(langs[at], pa.string()), len(keys)), pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(sums)],
+                names=["lang", "place", "item_place", "value"],
+            )
+            at = end
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -189,10 +175,10 @@ def source_divergence(docs: DataFrame, spec: DivergenceSpec = DivergenceSpec())
     term occurred; per source and distinct share, what the terms that occur change
     against every other source; and, for terms that occur in both, a correction. The
     latter comes from a tree of the terms' rows, ordered by source, in which equal
-    beginnings are one path: each range of the sorted rows grows its own, and a node
-    corrects each of its ancestors once for all terms below it. Memory is one path
-    and the sums of a task. The result has a row per pair of sources of a language, so
-    it grows with the square of their number.
+    beginnings are one path: rows are dealt by their first steps, sorted, and grow one
+    tree per batch, whose nodes correct each of their ancestors once for all terms
+    below them. The result has a row per pair of sources of a language, so it grows
+    with the square of their number.
 
     Null text, lang and source count as empty. A group without kept terms has shares of
     zero terms: pairs of value 0, no terms. An empty table gives an empty one.
@@ -224,12 +210,13 @@ def source_divergence(docs: DataFrame, spec: DivergenceSpec = DivergenceSpec())
             "lang", "source", F.coalesce("total", F.lit(0)).alias("total"),
             F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"),
         )
-        .withColumn("base", _share(F.lit(0), F.col("total"), F.col("terms"), spec)),
+        .withColumn("base", _share(F.lit(0), F.col("total"), F.col("terms"), spec))
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")),
         "groups",
     )
     shares = materialize(
         found.join(_small(groups), ["lang", "source"]).select(
-            "lang", "source", "term", "base",
+            "lang", "source", "term", "place", "base",
             _share(F.col("n"), F.col("total"), F.col("terms"), spec).alias("share"),
             _share(F.col("lang_n"), F.col("lang_total"), F.col("terms"), spec).alias("lang_share"),
         ),
@@ -252,11 +239,21 @@ def source_divergence(docs: DataFrame, spec: DivergenceSpec = DivergenceSpec())
             ).alias("value")
         )
     )
-    rows = shares.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "share", "base"))).alias("path"))
-    rows = materialize(rows.groupBy("lang", "path").agg(F.count("*").alias("terms")), "term-rows")
+    steps = F.array_sort(F.collect_list(F.struct("place", "share", "base")))
+    rows = materialize(
+        shares.groupBy("lang", "term")
+        .agg(F.flatten(F.transform(steps, lambda s: F.array(s["place"], s["share"], s["base"]))).alias("path")),
+        "term-rows",
+    )
+    begins = (F.col("lang"), F.slice("path", 1, 6), F.xxhash64("path"))
+    places = _small(groups.select("lang", "source", "place"))
     both = (
-        rows.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-        .mapInArrow(_grow_trees, "lang string, source string, item string, value long")
+        rows.repartitionByRange(*begins).sortWithinPartitions("lang", "path").select("lang", "path")
+        .mapInArrow(_grow_trees, "lang string, place long, item_place long, value long")
+        .groupBy("lang", "place", "item_place").agg(F.sum("value").alias("value"))
+        .join(places, ["lang", "place"])
+        .join(places.select("lang", F.col("source").alias("item"), F.col("place").alias("item_place")), ["lang", "item_place"])
+        .select("lang", "source", "item", "value")
     )
     one_way = alone.union(both)
     swapped = one_way.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
