@@ -54,7 +54,7 @@ _MAY_BE_LONGER = _class_around(_LONGER_KEYS)
 
 
 def fold_accents(c: Column) -> Column:
-    """Compatibility forms as plain characters, without combining marks."""
+    """Compatibility forms as plain characters, without combining marks; ASCII text is left as it is."""
     def spelled(text: Column) -> Column:
         return F.array_join(
             F.transform(
@@ -66,8 +66,11 @@ def fold_accents(c: Column) -> Column:
             "",
         )
 
-    whole = let(c, lambda text: F.when(text.rlike(_MAY_BE_LONGER), spelled(text)).otherwise(text))
-    return F.regexp_replace(F.translate(whole, _FOLD_FROM, _FOLD_TO), r"\p{Mn}+", "")
+    def folded(text: Column) -> Column:
+        whole = F.when(text.rlike(_MAY_BE_LONGER), spelled(text)).otherwise(text)
+        return F.regexp_replace(F.translate(whole, _FOLD_FROM, _FOLD_TO), r"\p{Mn}+", "")
+
+    return let(c, lambda text: F.when(F.octet_length(text) == F.length(text), text).otherwise(folded(text)))
 
 
 def normalize_text(c: Column | str) -> Column:

@@ -7,7 +7,12 @@ normalised name when there is none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import lexicon as lx
 from ..functions.columns import distinct_by, each, each_with_position, let
@@ -195,15 +200,101 @@ def _starts(piece: Column, longest: Column) -> Column:
     )
 
 
+#: Surface forms up to which every task gets the automaton of all of them.
+AUTOMATON_ALIASES = 1 << 16
+#: Characters of a text that are cut into tokens at a time.
+_PIECE = 1 << 20
+_TOKENS = re.compile(_TOKEN)
+
+
+class _Automaton:
+    """All surface forms as one tree of tokens; a text is read once, whatever their number.
+
+    Tokens are words or single marks, so a step is one look-up. From a token that begins
+    no form the next token is tried at once; a form that was begun in vain costs its own
+    length at most.
+    """
+
+    def __init__(self, forms: list[tuple[str, str]]) -> None:
+        self.root: dict = {}
+        for number, (form, _) in enumerate(forms):
+            node = self.root
+            for token in _TOKENS.findall(form):
+                node = node.setdefault(token, {})
+            node[""] = number
+        self.longest = max((len(form) for form, _ in forms), default=0)
+
+    def mentions(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """``(form, start, end)`` from left to right, the longest at a place, none inside another.
+
+        A long text is read in pieces that begin at a space and reach as far into the next
+        piece as the longest form.
+        """
+        begun = done = 0
+        while begun < len(text):
+            cut = text.find(" ", begun + _PIECE)
+            cut = len(text) if cut < 0 else cut
+            tokens = _TOKENS.findall(text[begun : cut + self.longest + 1])
+            starts = [begun, *accumulate(map(len, tokens), initial=begun)][1:]
+            for i, token in enumerate(tokens):
+                if token not in self.root or starts[i] < done:
+                    continue
+                if starts[i] >= cut:
+                    break
+                if i and tokens[i - 1].isalnum() or token == " ":
+                    continue
+                node, found, j = self.root, None, i
+                while j < len(tokens) and (node := node.get(tokens[j])) is not None:
+                    j += 1
+                    if "" in node and not (j < len(tokens) and tokens[j].isalnum()):
+                        found = node[""], j
+                if found:
+                    done = starts[found[1]]
+                    yield found[0], starts[i], done
+            begun = cut
+
+
 def find_skill_mentions(
     lines: DataFrame, keys: list[str], text: str, aliases: DataFrame
 ) -> DataFrame:
     """Every catalogue mention in a line: ``surface, normalized_name, start, end``.
 
     A mention may not touch a letter or digit on either side.  Overlaps keep the
-    leftmost mention, and the longest at one position.  Tokens join the first
-    token of each alias, so only real candidates are compared and only hits are
-    shuffled, however large the catalogue is.
+    leftmost mention, and the longest at one position.  Up to ``AUTOMATON_ALIASES``
+    surface forms every task gets them and reads each text once, where it lies; the
+    forms of a larger catalogue meet the texts in :func:`_joined_mentions`.
+    A null text has no mention.
+    """
+    forms = [(r["alias"], r["normalized_name"]) for r in aliases.select("alias", "normalized_name").limit(AUTOMATON_ALIASES + 1).collect()]
+    if len(forms) > AUTOMATON_ALIASES:
+        return _joined_mentions(lines, keys, text, aliases)
+    wanted = lines.select(*keys, normalize_text(text).alias("_text"))
+    added = "surface string, normalized_name string, start int, end int"
+    fields = T.StructType(wanted.schema.fields[:-1] + T.StructType.fromDDL(added).fields)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _Automaton(forms)
+        names = [pa.array(f, pa.string()) for f in zip(*forms)] or [pa.array([], pa.string())] * 2
+        for batch in batches:
+            hits = [
+                (row, *hit) for row, t in enumerate(batch.column(len(keys))) for hit in automaton.mentions(t.as_py())
+            ]
+            rows, which, starts, ends = (pa.array(c, pa.int32()) for c in (zip(*hits) if hits else ([],) * 4))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(rows) for k in range(len(keys))), *(n.take(which) for n in names), starts, ends],
+                names=fields.names,
+            )
+
+    return wanted.mapInArrow(find, fields)
+
+
+def _joined_mentions(
+    lines: DataFrame, keys: list[str], text: str, aliases: DataFrame
+) -> DataFrame:
+    """Mentions of a catalogue of any size.
+
+    Tokens join the first token of each alias, so only real candidates are compared
+    and only hits are shuffled.
     """
     parts = F.regexp_extract_all(F.col("alias"), F.lit(_TOKEN), F.lit(0))
     heads = aliases.select(

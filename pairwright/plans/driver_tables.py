@@ -373,12 +373,10 @@ def document_files(spark, d) -> DataFrame:
     )
 
 
-def dictionary(spark, d, size: int = 50) -> DataFrame:
-    """A skill catalogue whose surface forms are the commonest words of ``benchmark``."""
+def dictionary(spark, d) -> DataFrame:
+    """A skill catalogue whose surface forms are all words of ``benchmark``."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")
-    counts = table(spark, d, "benchmark").select(word).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.orderBy(F.col("n").desc(), "w").limit(size)
-    return best.select(
+    return table(spark, d, "benchmark").select(word).distinct().select(
         F.col("w").alias("normalized_name"), F.col("w").alias("name"), F.lit("other").alias("category"),
         F.array().cast("array<string>").alias("aliases"),
     )

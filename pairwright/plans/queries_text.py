@@ -209,8 +209,7 @@ def graduation_years(spark, d):
 
 
 _DICTIONARY = """
-words AS MATERIALIZED (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
-dict AS MATERIALIZED (SELECT w FROM (SELECT w, count(*) AS n FROM words GROUP BY w) ORDER BY n DESC, w LIMIT 50),
+dict AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
 pattern AS MATERIALIZED (SELECT '\\b(?:' || string_agg(w, '|' ORDER BY length(w) DESC, w) || ')\\b' AS p FROM dict),"""
 
 
@@ -218,7 +217,7 @@ pattern AS MATERIALIZED (SELECT '\\b(?:' || string_agg(w, '|' ORDER BY length(w)
   m AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all({_NORM.format('text')}, (SELECT p FROM pattern))) AS surface FROM documents)
   SELECT doc_id, surface AS normalized_name, count(*) AS mentions FROM m GROUP BY doc_id, surface""")
 def find_skill_mentions(spark, d):
-    """Dictionary mentions in whole documents."""
+    """Mentions of every word of the benchmark texts in whole documents."""
     docs = t.documents(spark, d)
     hits = cat.find_skill_mentions(docs, ["doc_id"], "text", cat.alias_table(t.dictionary(spark, d)))
     return hits.groupBy("doc_id", "normalized_name").agg(F.count(F.lit(1)).alias("mentions"))

@@ -1,70 +1,54 @@
 """Small texts and a small catalogue the tests share; people, firms and dates are invented here."""
 
-RESUME = """
-Mirela Okonkwo
-Lead Platform Engineer
-mirela.okonkwo@example.org | +44 20 7946 0958 | Lisbon, Portugal
-https://github.com/mokonkwo | linkedin.com/in/mokonkwo
-
-SUMMARY
-Platform engineer who has run data services in Python and Go for ten years.
-
-EXPERIENCE
-Lead Platform Engineer, Tidewater Freight, 2019 - Present
-- Moved the booking service to FastAPI and PostgreSQL without a night of downtime.
-- Runs Kubernetes clusters in four regions, described in Terraform.
-
-Platform Engineer, Quince Analytics, 2015 - 2019
-- Wrote Apache Spark jobs in Python for two billion rows a day.
-- Brought in Docker and CI/CD on GitHub Actions.
-
-EDUCATION
-M.S. Computer Science, University of Porto, 2013
-
-SKILLS
-Python, Go, FastAPI, PostgreSQL, Docker, Kubernetes, Terraform, GitHub Actions,
-Apache Spark, SQL, Redis, Kafka
-
-CERTIFICATIONS
-AWS Certified Solutions Architect
+CURATOR = """\
+Ottoline Brask
+Collections Manager
+Bergen, Norway
+ottoline@brask.example
++47 55 55 01 23
+
+Certifications
+Certified Archives Conservator
+
+Education
+MA Museum Studies, Leiden Academy, 1998
+Ph.D. Art History, College of Ghent at Waregem, 2004
+
+Technical Skills
+Python | SQL | Redis | TMS Gallery Kit
+Kafka; Docker
+
+Professional Experience
+Collections Manager, Maritime Museum of the North, 03/2009 - 08/2014
+* Forty thousand catalogue cards became records in PostgreSQL.
+Registrar, Glass Hall Foundation, May 2004 to December 2008
+* Loans to ninety houses on three continents.
+* A night watch of sensors, read by scripts in Golang.
 """
 
-ANALYST = """
-Tomasz Lindqvist
-Reporting Analyst
-tomasz.lindqvist@example.net | Oslo, Norway
-
-EXPERIENCE
-Reporting Analyst, Birchwood Grocers, 2017 - Present
-- Weekly SQL and Python figures for sixty shops; schedules in Airflow.
+BAKER = """\
+Emeka Sundqvist
+emeka.s@loaf.example
 
-EDUCATION
-B.S. Mathematics, University of Oslo at Blindern, 2012
-
-SKILLS
-SQL, Python, Airflow
+Work History
+Production Manager, Three Ovens, 1996 - 1999
 """
 
-JOB = """
-We are hiring a Lead Platform Engineer.
-
-RESPONSIBILITIES
-- Keep the event platform fast and cheap to run.
-- Teach three product teams to ship on it.
-- Write down what went wrong.
+VACANCY = """\
+Harbour Pilot Office: Data Architect
 
-REQUIRED SKILLS
-Go, Kubernetes, Terraform, PostgreSQL
+What we need
+- At least 9 years of experience with tide records.
 
-PREFERRED SKILLS
-Kafka, Redis, FastAPI
+Must have
+SQL, Kafka, Docker
 
-REQUIREMENTS
-- 6+ years of platform engineering experience.
-- Master's degree in Computer Science or equivalent.
+Nice to have
+Python, Terraform
 
-CERTIFICATIONS
-AWS Certified Solutions Architect is welcome.
+Duties
+- Keep soundings of forty fairways.
+- Answer the night desk.
 """
 
 CATALOGUE = [
@@ -72,21 +56,14 @@ CATALOGUE = [
     ("sql", "SQL", "programming_language", []),
     ("go", "Go", "programming_language", ["golang"]),
     ("c_plus_plus", "C++", "programming_language", ["cpp"]),
-    ("fastapi", "FastAPI", "framework", ["fast api"]),
     ("nodejs", "Node.js", "framework", ["node js"]),
     ("postgresql", "PostgreSQL", "database", ["postgres"]),
     ("redis", "Redis", "database", []),
     ("docker", "Docker", "devops", []),
-    ("kubernetes", "Kubernetes", "devops", ["k8s"]),
     ("terraform", "Terraform", "devops", []),
-    ("github_actions", "GitHub Actions", "devops", []),
-    ("ci_cd", "CI/CD", "devops", ["ci cd"]),
-    ("aws", "AWS", "cloud", []),
     ("apache_spark", "Apache Spark", "data_science", ["spark", "pyspark"]),
     ("kafka", "Apache Kafka", "data_science", ["kafka"]),
-    ("airflow", "Apache Airflow", "data_science", ["airflow"]),
-    ("aws_solutions_architect", "AWS Certified Solutions Architect", "certification",
-     ["aws solutions architect"]),
+    ("archives_conservator", "Certified Archives Conservator", "certification", ["archives conservator"]),
 ]
 
 
