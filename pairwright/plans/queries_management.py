@@ -277,22 +277,15 @@ def rate_limit_flags(spark, d):
     return rate_limit.rate_limit_flags(events, "user_id", "ts", "event_id", LIMIT, WINDOW).select("event_id", "key", "allowed")
 
 
-#: The watermark of a stream that has ended lies at its newest event; older ones are decided.
-_SETTLED = "(SELECT max(epoch_us(ts)) - 1000000 FROM events)"
-
-
-@query(_LIMITER.replace("FROM run", "FROM run WHERE us <= " + _SETTLED, 2).replace("FROM run WHERE us <= " + _SETTLED + " r JOIN", "FROM run r JOIN"))
+@query(_LIMITER)
 def rate_limit_stream(spark, d):
-    """The same decision taken on a stream with state."""
-    target = scratch_path(spark, "flags")
+    """The same decision taken on a stream with state, to its last event."""
     events = spark.readStream.schema(t.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
-    flags = rate_limit.rate_limit_stream(events, "user_id", "ts", "event_id", LIMIT, WINDOW, "0 seconds")
-    (
-        flags.writeStream.format("parquet").option("path", target)
-        .option("checkpointLocation", scratch_path(spark, "flags-state")).trigger(availableNow=True).start()
-    ).awaitTermination()
-    newest = t.table(spark, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
-    return spark.read.parquet(target).where(F.col("at") <= newest - 1_000_000).select("event_id", "key", "allowed")
+    flags = rate_limit.limit_to_the_end(
+        events, scratch_path(spark, "flags"), scratch_path(spark, "flags-state"), "user_id", "ts", "event_id",
+        limit=LIMIT, window_seconds=WINDOW, lateness="0 seconds", slot_seconds=5 * 86400,
+    )
+    return flags.select("event_id", "key", "allowed")
 
 
 @query(f"""SELECT event_id, user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW - 1}999999 PRECEDING AND 1 PRECEDING) AS previous FROM events""")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pairwright.operators import extract as xt, manage as mg, matching as m, search as se, vectors as vec
@@ -93,7 +95,17 @@ def plain_decisions(events, limit, window):
     return out
 
 
-def test_stream_decides_in_order_of_time(spark):
+@pytest.fixture
+def rocks_state(spark):
+    before = {name: spark.conf.get(name) for name in rl.STATE_STORE}
+    for name, value in rl.STATE_STORE.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_stream_decides_in_order_of_time(spark, rocks_state):
     source, target = scratch_path(spark, "events"), scratch_path(spark, "decided")
     base = 1_700_000_000
     batches = [[(0, 0), (1, 50), (2, 10), (3, 55)], [(4, 20), (5, 70), (6, 52), (7, 90)], [(8, 85), (9, 60), (10, 200)], [(11, 400)]]
@@ -103,7 +115,7 @@ def test_stream_decides_in_order_of_time(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         events = spark.readStream.schema(schema).parquet(source)
         (
-            rl.rate_limit_stream(events, "user", "ts", "event_id", 2, 30, "100 seconds")
+            rl.rate_limit_stream(events, "user", "ts", "event_id", 2, 30, "100 seconds", slot_seconds=1)
             .writeStream.format("parquet").option("path", target).option("checkpointLocation", target + "-state")
             .trigger(availableNow=True).start().awaitTermination()
         )
