@@ -55,8 +55,9 @@ def format_chats(
     """One row per conversation of ``turns(conv_id, turn, role, content)``.
 
     ``content`` is an array of parts (``PART_TYPE``). A visitor goes over the parts
-    in order: text is escaped and kept, an image, audio or document part becomes
-    its placeholder; a part of another or no type counts as text. Columns:
+    in order: an image, audio or document part becomes its placeholder, the text between two
+    of them is joined, then escaped and kept; a part of another or no type counts as
+    text. Columns:
 
     ``formatted``     ``[INST]role[/INST]content</s>`` per turn
     ``loss_spans``    array<struct<start, length>>: code points of every assistant content
@@ -73,44 +74,64 @@ def format_chats(
     """
 
     def visit(part: Column) -> Column:
-        text = escaped(F.coalesce(part["text"], F.lit("")))
-        for kind, mark in PLACEHOLDERS.items():
-            text = F.when(part["type"] == kind, F.lit(mark)).otherwise(text)
+        mark = F.lit(None).cast("string")
+        for kind, sign in PLACEHOLDERS.items():
+            mark = F.when(part["type"] == kind, F.lit(sign)).otherwise(mark)
         return F.struct(
-            text.alias("out"),
-            F.length(text).cast("long").alias("chars"),
-            part["type"].isin(*PLACEHOLDERS).alias("attached"),
+            F.coalesce(part["text"], F.lit("")).alias("text"),
+            mark.alias("mark"),
             part["type"].alias("type"),
             part["ref"].alias("ref"),
             expanded_tokens(part, patch, audio_rate, page_tokens).alias("tokens"),
         )
 
+    def run(k: Column) -> Column:
+        """The text between two attachments, escaped as a whole: parts that touch may make a control string."""
+        before = F.when(k > 0, F.get("at", k - 1) + 1).otherwise(0)
+        upto = F.coalesce(F.get("at", k), F.size("parts"))
+        return escaped(F.array_join(F.slice(F.col("parts.text"), before + 1, upto - before), ""))
+
     nothing = F.array().cast(f"array<{PART_TYPE}>")
+    none = F.array(F.lit(0).cast("long"))
     role = F.coalesce(F.col("role"), F.lit(""))
-    flat = turns.select(
-        "conv_id",
-        "turn",
-        role.alias("role"),
-        F.concat(F.lit(TURN), escaped(role), F.lit(ROLE_END)).alias("head"),
-        F.transform(F.coalesce(F.col("content"), nothing), visit).alias("parts"),
-    ).select(
-        "*",
-        F.array_join(F.col("parts.out"), "").alias("body"),
-        F.filter(
+    flat = (
+        turns.select(
+            "conv_id",
+            "turn",
+            role.alias("role"),
+            F.concat(F.lit(TURN), escaped(role), F.lit(ROLE_END)).alias("head"),
+            F.transform(F.coalesce(F.col("content"), nothing), visit).alias("parts"),
+        )
+        .withColumn(
+            "at", F.filter(F.transform("parts", lambda p, i: F.when(p["mark"].isNotNull(), i)), lambda i: i.isNotNull())
+        )
+        .withColumn("runs", F.transform(F.sequence(F.lit(0), F.size("at")), run))
+        .withColumn(
+            "within",  # where each attachment begins, by one running sum
+            F.aggregate(
+                F.transform(
+                    "at", lambda i, k: F.length(F.get("runs", k)) + F.when(k > 0, F.length(F.get("parts", F.get("at", k - 1))["mark"])).otherwise(0)
+                ),
+                none,
+                lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)),
+            ),
+        )
+        .select(
+            "conv_id", "turn", "role", "head",
+            F.array_join(
+                F.transform("runs", lambda r, k: F.concat(r, F.coalesce(F.get("parts", F.get("at", k))["mark"], F.lit("")))), ""
+            ).alias("body"),
             F.transform(
-                F.col("parts"),
-                lambda p, i: F.struct(
-                    F.when(p["attached"], p["type"]).alias("type"),
-                    p["ref"].alias("ref"),
+                "at",
+                lambda i, k: F.struct(
+                    F.get("parts", i)["type"].alias("type"),
+                    F.get("parts", i)["ref"].alias("ref"),
                     i.alias("part_index"),
-                    F.aggregate(
-                        F.slice(F.col("parts"), 1, i), F.lit(0).cast("long"), lambda s, q: s + q["chars"]
-                    ).alias("within"),
-                    p["tokens"].alias("tokens"),
+                    F.get("within", k + 1).alias("within"),
+                    F.get("parts", i)["tokens"].alias("tokens"),
                 ),
-            ),
-            lambda a: a["type"].isNotNull(),
-        ).alias("own"),
+            ).alias("own"),
+        )
     )
     whole = flat.groupBy("conv_id").agg(
         F.array_sort(

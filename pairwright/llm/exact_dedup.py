@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_IDS, materialize
 
 
 def exact_groups(
@@ -56,6 +56,29 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", support: float = 0.001) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
-    dropped = exact_groups(docs, id_column, support=support).where(~F.col("kept")).select(id_column)
-    return docs.join(dropped, id_column, "left_anti").select(docs.columns)
+    """One row of ``docs`` for each distinct text, with all its columns.
+
+    Rows are judged by id and digest, so a text stays though its id also stands at
+    a copy, and of rows with the same id and text, or of copies without id, one stays.
+    The pairs that go are broadcast if they are few, else joined; texts are shuffled in that
+    case only. A null text is empty; an empty table gives an empty one. The columns may
+    have any names.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    judged = materialize(
+        exact_groups(docs, id_column, support=support)
+        .groupBy(F.col(id_column).alias("of_id"), F.unhex("text_sha256").alias("of_digest"))
+        .agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"),
+        "copies",
+    )
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))
+
+    def small(pairs: DataFrame) -> DataFrame:
+        return F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS >> 2 else pairs
+
+    single = rows.join(small(judged), same, "left_anti").select("row")
+    repeated = (
+        rows.join(small(judged.where("kept")), same, "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    )
+    return single.union(repeated.select("row")).select("row.*")

@@ -113,8 +113,9 @@ _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|\|(?:image|audio|document)\|>)"
 def op8_typed_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, formatted, with turns and loss text read back from the string."""
     own = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame(
-        [(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     chats = chat.format_chats(rows.withColumn("content", chat.text_part(F.col("text"))))

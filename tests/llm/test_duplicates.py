@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from pairwright.llm import exact_dedup, jaccard, near_vectors
 from pairwright.llm.common import connected_components
@@ -47,10 +48,22 @@ def test_exact_groups(spark):
         ids = [j for j in groups[t or ""] if j is not None]
         keep = max(ids) if ids else None
         assert (r.keep_id, r.group_size, r.kept) == (keep, len(groups[t or ""]), i == keep)
-    kept = exact_dedup.drop_exact_copies(docs.where("doc_id is not null"), support=0.01)
+    kept = exact_dedup.drop_exact_copies(docs, support=0.01)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [499, 1001, 1002, 1003, 1004, 1004]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1001", "1002", "1003", "1004", "499", "None"]
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ids", [1 << 20, 0])
+def test_every_text_keeps_one_row(spark, monkeypatch, ids):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_IDS", ids)
+    rows = [(1, "A"), (2, "A"), (1, "B only here"), (7, "D"), (7, "D"), (None, "C"), (None, "C"), (None, "A"), (3, None), (4, "")]
+    rows += [(k, "hot") for k in range(10, 200)] + [(500, "hot")] * 50
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long")
+    kept = exact_dedup.drop_exact_copies(docs.repartition(5)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "C"), (1, "B only here"), (2, "A"), (4, ""), (7, "D"), (500, "hot")]
+    assert all(rows[r.row] == (r.doc_id, r.text) for r in kept)
 
 
 def shingles(text, k):
