@@ -19,7 +19,7 @@ class CoTrainingSpec:
 
     fit_rows      labelled documents fitted on, at most, per class
     check_rows    further labelled documents that calibrate, at most, per class
-    pool_rows     unlabelled documents that get pseudo-labels, at most
+    pool_share    share of all documents that a round labels anew; each round takes others
     rounds        exchanges of pseudo-labels
     confidence    probability from which a view's label is handed to the other view
     least_score   documents with a lower combined score are rejected
@@ -27,7 +27,7 @@ class CoTrainingSpec:
 
     fit_rows: int = 2000
     check_rows: int = 1000
-    pool_rows: int = 3000
+    pool_share: float = 0.05
     rounds: int = 2
     confidence: float = 0.95
     text_features: int = 1 << 15
@@ -45,8 +45,10 @@ def _cell(columns: list[str], name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in columns else F.lit(None).cast(kind)
 
 
-def with_views(docs: DataFrame, spec: CoTrainingSpec, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc, text_view, numbers, origin``: the inputs of both views for every row.
+def with_views(
+    docs: DataFrame, spec: CoTrainingSpec, id_column: str = "doc_id", text_column: str = "text", carry: bool = False
+) -> DataFrame:
+    """``doc, text_view, numbers, origin``: the inputs of both views for every row, and if asked the struct ``row``.
 
     Text view: words, their shapes (runs of capitals, small letters, digits and signs) and
     repetitions of the word before, hashed and scaled to length 1. Metadata view: language, source,
@@ -56,8 +58,11 @@ def with_views(docs: DataFrame, spec: CoTrainingSpec, id_column: str = "doc_id",
     shape = text
     for pattern, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{N}+", "0"), (r"([^\s\w])\1+", "$1")):
         shape = F.regexp_replace(shape, pattern, sign)
+    own = [F.struct("*").alias("row")] if carry else []
+    kept = ["doc", *(["row"] if carry else [])]
     rows = docs.select(
         F.col(id_column).alias("doc"),
+        *own,
         F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("words"),
         F.filter(F.split(shape, r"\s+"), lambda w: w != "").alias("shapes"),
         F.length(text).cast("double").alias("chars"),
@@ -76,7 +81,7 @@ def with_views(docs: DataFrame, spec: CoTrainingSpec, id_column: str = "doc_id",
         lambda same: same,
     )
     rows = rows.select(
-        "doc", "origin_terms", "upper", "digits", "symbols",
+        *kept, "origin_terms", "upper", "digits", "symbols",
         F.concat(
             F.col("words"),
             F.transform("shapes", lambda s: F.concat(F.lit("shape "), s)),
@@ -92,7 +97,7 @@ def with_views(docs: DataFrame, spec: CoTrainingSpec, id_column: str = "doc_id",
     rows = Normalizer(inputCol="counts", outputCol="text_view").transform(rows)
     rows = HashingTF(numFeatures=256, binary=True, inputCol="origin_terms", outputCol="origin").transform(rows)
     numbers = array_to_vector(F.array(*(F.col(c).cast("double") for c in NUMBERS)))
-    return rows.select("doc", "text_view", numbers.alias("numbers"), "origin")
+    return rows.select(*kept, "text_view", numbers.alias("numbers"), "origin")
 
 
 @dataclass
@@ -152,12 +157,14 @@ def train(
     docs: DataFrame, labels: DataFrame, spec: CoTrainingSpec = CoTrainingSpec(), id_column: str = "doc_id",
     text_column: str = "text", label_column: str = "quality",
 ) -> CoTrained:
-    """Fit both views on a bounded sample of ``labels`` (1: good, 0: bad) and an unlabelled pool.
-
-    Samples are the rows with the least hash of their id. Each round fits both views, lets each
-    label the pool and gives its confident labels to the other view's training set. A document with
-    labels of both kinds counts as bad; null ids and labels are ignored. With labels of one
-    class or none nothing is fitted and every document scores the share of good labels (1 if none).
+    """Fit both views on a bounded sample of ``labels`` (1: good, 0: bad) and on pools of all documents.
+
+    The sample are the labelled rows with the least hash of their id. Each round fits both views,
+    lets each label a pool of its own, a share of all documents outside the sample, and adds its
+    confident labels to the other view's training set; pools are never gathered, fits run on
+    them where they lie. A document with labels of both kinds counts as bad; null ids and labels
+    are ignored. With labels of one class or none nothing is fitted and every document scores the
+    share of good labels (1 if none).
     """
     order = F.xxhash64(F.col("doc"), F.lit("co-training"))
     known = materialize(
@@ -179,13 +186,8 @@ def train(
             "doc", "label", F.when(F.col("k") <= check, "check").otherwise("fit").alias("use")
         )
         chosen = part if chosen is None else chosen.union(part)
-    pool = (
-        docs.select(F.col(id_column).alias("doc")).where("doc is not null").distinct()
-        .join(known, "doc", "left_anti").orderBy(order, "doc").limit(spec.pool_rows)
-        .select("doc", F.lit(None).cast("double").alias("label"), F.lit("pool").alias("use"))
-    )
-    # at most 2 * (fit_rows + check_rows) + pool_rows rows are broadcast
-    sample = materialize(chosen.union(pool), "sample").withColumnRenamed("doc", "sampled")
+    # at most 2 * (fit_rows + check_rows) rows are broadcast
+    sample = materialize(chosen, "sample").withColumnRenamed("doc", "sampled")
     picked = docs.join(F.broadcast(sample), F.col(id_column) == F.col("sampled")).dropDuplicates([id_column])
     views = materialize(
         with_views(picked, spec, id_column, text_column).join(
@@ -199,19 +201,32 @@ def train(
     views = materialize(
         _metadata(scaler, views).select("doc", "label", "use", "text_view", "numbers", "origin", "metadata_view"), "scaled"
     )
-    fit, pool = views.where("use = 'fit'").drop("use"), views.where("use = 'pool'").drop("label", "use")
+    draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("pool")), F.lit(1 << 20)) / float(1 << 20)
+    pools = docs.where(draw < spec.pool_share * spec.rounds).join(
+        F.broadcast(sample.select("sampled")), F.col(id_column) == F.col("sampled"), "left_anti"
+    )
+    pools = with_views(pools.withColumn(id_column, F.struct(F.col(id_column).alias("id"), draw.alias("draw"))), spec, id_column, text_column)
+    pools = materialize(
+        _metadata(scaler, pools).select(
+            F.col("doc.id").alias("doc"), F.floor(F.col("doc.draw") / spec.pool_share).alias("round"),
+            "text_view", "numbers", "origin", "metadata_view",
+        ),
+        "pools",
+    )
+    fit = views.where("use = 'fit'").drop("use")
     sets = {"text_view": fit, "metadata_view": fit}
     models: dict[str, LogisticRegressionModel] = {}
     for k in range(spec.rounds + 1):
         models = {view: _fit(_weighted(rows), view) for view, rows in sets.items()}
         if k == spec.rounds:
             break
+        pool = pools.where(F.col("round") == k).drop("round")
         for view, other in (("text_view", "metadata_view"), ("metadata_view", "text_view")):
             told = models[view].transform(pool).withColumn("p", vector_to_array("probability")[1])
             sure = told.where((F.col("p") >= spec.confidence) | (F.col("p") <= 1 - spec.confidence)).select(
-                "doc", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0).alias("label"), *views.columns[3:]
+                "doc", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0).alias("label"), *pool.columns[1:]
             )
-            sets[other] = materialize(fit.select(sure.columns).union(sure), f"{other}-set")
+            sets[other] = materialize(sets[other].select(sure.columns).union(sure), f"{other}-set")
     check = views.where("use = 'check'")
     calibration = []
     for view, model in models.items():
@@ -237,7 +252,7 @@ def drop_low_quality(
     docs: DataFrame, labels: DataFrame, spec: CoTrainingSpec = CoTrainingSpec(), id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns; a repeated id is judged by its best row."""
-    found = score_documents(docs, labels, spec, id_column, text_column)
-    rejected = found.groupBy(id_column).agg(F.max("kept").alias("kept")).where("not kept").select(id_column)
-    return docs.join(rejected, id_column, "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are not rejected, with all their columns; each row is judged by itself, none shuffled."""
+    model = train(docs, labels, spec, id_column, text_column)
+    scored = model.scores(with_views(docs, spec, id_column, text_column, carry=True), "row")
+    return scored.where(F.col("score") >= spec.least_score).select("row.*")
