@@ -9,7 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import learn
 from ..operators import vectors as vc
-from ..session import written
+from ..session import scratch_path, written
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -246,33 +246,29 @@ def data_warnings(spark, d):
     return ft.data_warnings(rows).withColumn("warnings", F.size("warnings"))
 
 
-_MODEL_COLUMNS = [f"{c}_score" for c in lx.COMPONENTS]
-
-
 def _trainable(spark, d) -> DataFrame:
-    """Scores with a label the scores can explain, written once for the passes of a fit."""
-    rows = t.match_results(spark, d).select(
-        "job_id", "candidate_id", *_MODEL_COLUMNS,
-        (F.col("required_skills_score") + F.col("semantic_score") + F.col("candidate_id") % 7 / 20 > 0.6).cast("int").alias("label"),
-    )
+    """All features and the graded label, written once for the passes of a fit."""
+    rows = features(spark, d).select("job_id", "candidate_id", *lx.FEATURES, (F.col("relevance") >= 2).cast("int").alias("label"))
     return written(spark, rows, "training")
 
 
+@query(o.with_matches("""SELECT m.job_id, candidate_id, fold, CAST((candidate_id + m.job_id) % 4 >= 2 AS INTEGER) AS label, true AS is_probability
+  FROM matches m JOIN (SELECT job_id, CAST((row_number() OVER (ORDER BY ('0x' || substr(md5('42-' || job_id), 1, 4))::BIGINT, job_id) - 1) % 5 AS INTEGER) AS fold
+    FROM (SELECT DISTINCT job_id FROM matches)) f ON f.job_id = m.job_id"""))
 def out_of_fold_predictions(spark, d):
-    """Grouped cross-validation of the logistic reranker."""
-    out = learn.out_of_fold_scores(_trainable(spark, d), model="logistic", max_iter=20, columns=_MODEL_COLUMNS)
-    return out.select("job_id", "candidate_id", "fold", "label", "score")
+    """Grouped cross-validation of the logistic reranker: every row once, by a model that never saw its job."""
+    out = learn.out_of_fold_scores(_trainable(spark, d), model="logistic")
+    return out.select("job_id", "candidate_id", "fold", "label", F.col("score").between(0, 1).alias("is_probability"))
 
 
+@query("SELECT unnest([" + ", ".join(f"'{f}'" for f in lx.FEATURES) + "]) AS feature, true AS is_difference")
 def permutation_importance(spark, d):
+    """What the saved and reloaded logistic reranker loses in average precision with each feature shuffled."""
     rows = _trainable(spark, d)
-    model = learn.train_reranker(rows, "gbm", max_iter=5, columns=_MODEL_COLUMNS)
-    learn.check_contract(model, _MODEL_COLUMNS)
-    return learn.permutation_importance(model, rows, ["job_id", "candidate_id"], 2, _MODEL_COLUMNS)
-
-
-query()(out_of_fold_predictions)
-query()(permutation_importance)
+    path = scratch_path(spark, "reranker")
+    learn.save_model(learn.train_reranker(rows, "logistic"), path)
+    out = learn.permutation_importance(learn.load_model(path), rows, ["job_id", "candidate_id"])
+    return out.select("feature", F.col("importance").between(-1, 1).alias("is_difference"))
 
 
 # -- vectors ------------------------------------------------------------------

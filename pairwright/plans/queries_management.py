@@ -211,28 +211,32 @@ def land_by_month(spark, d):
 
 
 def _references(spark, d) -> DataFrame:
-    """Every candidate points to the file of their first order, some by bare name."""
+    """Every candidate points to the file of their first order, every third one also to that of their last
+    by bare name, and every job to the first order it supplied for."""
     files = t.stored_files(spark, d)
+    by_key = files.select("path", F.regexp_extract("path", r"doc-(\d+)", 1).cast("bigint").alias("k"))
     orders = t.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    by_key = files.withColumn("k", F.regexp_extract("path", r"doc-(\d+)", 1).cast("bigint"))
-    people = by_key.join(first, "k").select(
-        F.col("path").alias("resume_path"), F.lit(None).cast("string").alias("original_filename")
-    )
-    jobs = files.limit(0).select(F.col("path").alias("source_file"))
-    return fl.referenced_names(people, jobs)
+    ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"), F.max("o_orderkey").alias("last"))
+    last = by_key.select(F.col("k").alias("last"), F.element_at(F.split("path", "/"), -1).alias("original_filename"))
+    people = by_key.join(ends, "k").join(last.join(ends.where("o_custkey % 3 = 0").select("last"), "last"), "last", "left")
+    supplied = t.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("k"))
+    jobs = by_key.join(supplied, "k").select(F.col("path").alias("source_file"))
+    return fl.referenced_names(people.select(F.col("path").alias("resume_path"), "original_filename"), jobs)
 
 
 _FILE = "'doc-' || o_orderkey || CASE o_orderpriority WHEN '1-URGENT' THEN '.pdf' WHEN '2-HIGH' THEN '.DOCX' WHEN '3-MEDIUM' THEN '.txt' WHEN '4-NOT SPECIFIED' THEN '.exe' ELSE '' END"
+_POINTED = """(SELECT min(o_orderkey) FROM orders GROUP BY o_custkey
+  UNION ALL SELECT max(o_orderkey) FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey
+  UNION ALL SELECT min(l_orderkey) FROM lineitem GROUP BY l_suppkey)"""
 
 
-@query(f"SELECT {_FILE} AS name FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)")
+@query(f"SELECT DISTINCT {_FILE} AS name FROM orders WHERE o_orderkey IN {_POINTED}")
 def referenced_files(spark, d):
     return _references(spark, d)
 
 
 @query(f"""SELECT {_FILE} AS name FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' - INTERVAL 365 DAY
-  AND o_orderkey NOT IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)""")
+  AND o_orderkey NOT IN {_POINTED}""")
 def expired_files(spark, d):
     as_of = F.lit("2001-01-01").cast("timestamp")
     return fl.expired_files(t.stored_files(spark, d), _references(spark, d), as_of).select("name")
