@@ -34,6 +34,8 @@ class CoTrainingSpec:
     least_score: float = 0.4
 
 
+#: Rows of a pool that a task of a fit goes over, about: every step of a fit is a job of its own.
+ROWS_PER_TASK = 10_000
 NUMBERS = ("log_chars", "log_lines", "line_chars", "word_chars", "upper", "digits", "symbols", "distinct_words")
 
 
@@ -199,7 +201,9 @@ def train(
         views.where("use = 'fit'")
     )
     views = materialize(
-        _metadata(scaler, views).select("doc", "label", "use", "text_view", "numbers", "origin", "metadata_view"), "scaled"
+        _metadata(scaler, views).select("doc", "label", "use", "text_view", "numbers", "origin", "metadata_view")
+        .repartition(2),
+        "scaled",
     )
     draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("pool")), F.lit(1 << 20)) / float(1 << 20)
     pools = docs.where(draw < spec.pool_share * spec.rounds).join(
@@ -210,7 +214,7 @@ def train(
         _metadata(scaler, pools).select(
             F.col("doc.id").alias("doc"), F.floor(F.col("doc.draw") / spec.pool_share).alias("round"),
             "text_view", "numbers", "origin", "metadata_view",
-        ),
+        ).repartition(1 + int(docs.count() * spec.pool_share * spec.rounds) // ROWS_PER_TASK),
         "pools",
     )
     fit = views.where("use = 'fit'").drop("use")
