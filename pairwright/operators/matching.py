@@ -63,6 +63,9 @@ def job_profiles(
             )
         else:
             out = resolve_array(out, "job_id", name, aliases)
+    out = out.withColumn(
+        "certification_texts", F.transform("required_certifications", lambda t: normalize_text(t["term"]))
+    )
     return _with_vector(out, vectors, "job_id", "job")
 
 
@@ -146,18 +149,22 @@ def _match(term: Column, importance: str, **values: Column) -> Column:
     ).cast(MATCH_TYPE)
 
 
+def _partial_credit() -> Column:
+    """What an absent skill earns from the similarity of the two documents."""
+    span = 1.0 - lx.SEMANTIC_SKILL_THRESHOLD
+    return round4(
+        lx.SEMANTIC_PARTIAL_CREDIT
+        * F.least(F.lit(1.0), (F.col("cosine") - lx.SEMANTIC_SKILL_THRESHOLD) / span)
+    )
+
+
 def _skill_matches(terms: Column, importance: str) -> Column:
     """Status and contribution of each required or preferred skill.
 
     A held skill counts with its confidence.  Otherwise a strong overall
     similarity of the two documents earns partial credit, reported as weak.
     """
-    similarity = F.col("cosine")
-    span = 1.0 - lx.SEMANTIC_SKILL_THRESHOLD
-    partial = round4(
-        lx.SEMANTIC_PARTIAL_CREDIT
-        * F.least(F.lit(1.0), (similarity - lx.SEMANTIC_SKILL_THRESHOLD) / span)
-    )
+    similarity, partial = F.col("cosine"), _partial_credit()
 
     def one(term: Column) -> Column:
         def status(signal: Column) -> Column:
@@ -204,13 +211,15 @@ def _skill_matches(terms: Column, importance: str) -> Column:
     return F.transform(terms, one)
 
 
+def _listed(text: Column) -> Column:
+    """Whether a certificate's matching form stands in one that the candidate names."""
+    return (F.length(text) > 0) & F.exists("held_certifications", lambda h: F.contains(h, text))
+
+
 def _certification_matches(terms: Column) -> Column:
-    def one(term: Column) -> Column:
+    def one(term: Column, i: Column) -> Column:
         def status(signal: Column) -> Column:
-            text = normalize_text(term["term"])
-            listed = (F.length(text) > 0) & F.exists(
-                "held_certifications", lambda h: F.contains(h, text)
-            )
+            listed = _listed(F.get("certification_texts", i))
             return (
                 F.when(
                     signal.isNotNull(),
@@ -251,10 +260,29 @@ def _certification_matches(terms: Column) -> Column:
     return F.transform(terms, one)
 
 
-def coverage_score(matches: Column) -> Column:
-    """Mean contribution over the requirements, 0 when there are none."""
-    total = F.aggregate(matches, F.lit(0.0), lambda s, m: s + m["contribution"])
-    return F.when(F.size(matches) > 0, round4(total / F.size(matches))).otherwise(0.0)
+def skill_coverage(terms: str) -> Column:
+    """Mean contribution over the listed skills, 0 when there are none.
+
+    The figures of :func:`_skill_matches` without its rows, which queries of scores never build.
+    """
+    def contribution(term: Column) -> Column:
+        held = F.try_element_at("held_skills", term["normalized_name"])["confidence"]
+        return F.coalesce(held, F.col("partial_credit"))
+
+    return _mean(terms, F.aggregate(terms, F.lit(0.0), lambda s, term: s + contribution(term)))
+
+
+def certification_coverage(terms: str) -> Column:
+    """Share of the listed certificates that are held as a skill or named by the candidate."""
+    held = F.zip_with(
+        terms, "certification_texts",
+        lambda term, text: F.try_element_at("held_skills", term["normalized_name"]).isNotNull() | _listed(text),
+    )
+    return _mean(terms, F.size(F.filter(held, lambda h: h)).cast("double"))
+
+
+def _mean(terms: str, total: Column) -> Column:
+    return F.when(F.size(terms) > 0, round4(total / F.size(terms))).otherwise(0.0)
 
 
 def experience_score(have: Column, required: Column) -> Column:
@@ -322,6 +350,9 @@ def score_pairs(
         }
     ).withColumns(
         {
+            "partial_credit": F.when(
+                F.col("cosine") >= lx.SEMANTIC_SKILL_THRESHOLD, _partial_credit()
+            ).otherwise(0.0),
             "required_matches": _skill_matches(F.col("required_skills"), "required"),
             "preferred_matches": _skill_matches(F.col("preferred_skills"), "preferred"),
             "certification_matches": _certification_matches(F.col("required_certifications")),
@@ -332,14 +363,14 @@ def score_pairs(
     )
     required = F.col("experience_required_years")
     raw = {
-        "required_skills": coverage_score(F.col("required_matches")),
+        "required_skills": skill_coverage("required_skills"),
         "experience": experience_score(F.col("experience_years"), required),
         "education": F.col("_education"),
-        "preferred_skills": coverage_score(F.col("preferred_matches")),
+        "preferred_skills": skill_coverage("preferred_skills"),
         "semantic": F.when(
             F.col("cosine").isNotNull(), round4(rescale_similarity(F.col("cosine")))
         ).otherwise(0.0),
-        "certifications": coverage_score(F.col("certification_matches")),
+        "certifications": certification_coverage("required_certifications"),
     }
     applicable = {
         "required_skills": F.size("required_skills") > 0,
