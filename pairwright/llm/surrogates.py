@@ -37,10 +37,12 @@ NUMBERS = (
     ("card", r"(?:\d{13,19}|\d{4}(?:(?: \d{4}){2} |(?:-\d{4}){2}-)\d{1,7}|\d{4}(?: \d{6} |-\d{6}-)\d{5})(?!\w)"),
     (
         "phone",
-        # grouped behind a country code; as in North America; E.164, also with a gap behind the country code; in pairs
+        # grouped behind a country code; with an area code; E.164, also with a gap behind the country code; in pairs
         r"(?:\+[2-9]\d{0,2}(?=(?:[ .()-]{0,3}\d){7})(?:[ .-]\d{1,9}|[ .-]?\(\d{1,4}\)[ .-]?\d{1,9}){2,6}"
-        r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}"
-        r"|\+\d{1,3}[ .-]?\d{6,12}|0\d(?:[ .-]\d{2}){4})(?!\w)",
+        r"|\+\d{1,3}[ .-]?\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
+        r"|\+\d{1,3}[ .-]?\d{6,12}|0\d(?:[ .-]\d{2}){4}"
+        # without a code: a trunk zero, or three, three and four digits; other groups may be amounts or years
+        r"|0\d{1,3}[ .-]\d{3,4}[ .-]?\d{3,4}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])(?!\.\d)",
     ),
 )
 WORDS = (
@@ -51,12 +53,17 @@ WORDS = (
 #: First letters of the forms of address: most words need not be held against each of them.
 _TITLED = "(?=[" + "".join(sorted({w[0] for w in _ALL.split("|")})) + "])"
 _SECRET = r"(?=[apstAPST])(?i:password|passwd|pwd|secret|token|api_?key)"
+#: A sentence that goes on in words behind a colon states no secret, but for passwords.
+_PROSE = r"(?i:secret|token):\s{1,2}\p{L}++[.!?]?+(?:\s|\z)"
+#: A word that makes any groups of digits behind it a phone number.
+_PHONE = r"(?=[ptmfPTMF])(?i:phone|tel(?:ephone)?|mobile|fax)\b[.:]{0,2}\s{0,2}"
 #: What leads to the entity, and the entity; a secret ends at its quote or delimiter.
 LED = (
     (
-        "secret", rf"{_SECRET}\s{{0,2}}[=:]\s{{0,2}}[\"']?",
+        "secret", rf"(?!{_PROSE}){_SECRET}\s{{0,2}}[=:]\s{{0,2}}[\"']?",
         r"(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|[^\s\"',;]{6,}+",
     ),
+    ("phone", _PHONE, r"(?=(?:[ .()/+-]{0,3}\d){7})\+?\(?\d{1,15}(?:[ .()/-]{1,2}\d{1,9}){0,6}(?!\w)"),
     ("name_male", rf"{_TITLED}(?:{MALE})\.?{_GAP}", _NAME),
     ("name_female", rf"{_TITLED}(?:{FEMALE})\.?{_GAP}", _NAME),
     ("name", rf"{_TITLED}(?:{EITHER})\.?{_GAP}", _NAME),

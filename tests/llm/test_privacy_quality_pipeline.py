@@ -104,6 +104,26 @@ def test_masked_passwords_are_replaced(spark):
     assert re.fullmatch(r"password: [a-z0-9]{8} and token = [a-z0-9]{6} end", row.text) and row.n_entities == 2
 
 
+LEFT_ALONE = [
+    "12 345 678 people", "10 000 000 euro in 1998 1999 2000", "12.345.678 EUR", "ISBN 978-3-16-148410-0",
+    "The secret: everything matters", "Token: words go on.", "telephone 12 lines", "rows 100-200-300", "v 1.22.333.4444.5",
+]
+GROUPED = {
+    "Phone: 12 345 678 now": r"Phone: \d\d \d{3} \d{3} now", "fax 5551234567.": r"fax \d{10}\.", "020 7946 0958": r"\d{3} \d{4} \d{4}",
+    "555-867-5309 or": r"\d{3}-\d{3}-\d{4} or", "tel. +33 1 23 45 67 89": r"tel\. \+3\d \d( \d\d){4}", "token: abcdef12": r"token: [a-z0-9]{8}",
+    "(030) 1234567": r"\(\d{3}\) \d{7}", "secret=everything": r"secret=[a-z]{10}",
+}
+
+
+def test_amounts_years_and_prose_stay(spark):
+    docs = spark.createDataFrame(list(enumerate([*LEFT_ALONE, *GROUPED])), "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.replace_personal_data(docs, "k").collect()}
+    for i, text in enumerate(LEFT_ALONE):
+        assert (out[i].text, out[i].n_entities) == (text, 0)
+    for i, (text, form) in enumerate(GROUPED.items(), len(LEFT_ALONE)):
+        assert re.fullmatch(form, out[i].text) and out[i].text != text and out[i].n_entities == 1, text
+
+
 _JWT = "eyJhbGciOi." + "Q7x_" * 2000 + "tailEnd"
 WHOLE = {
     f"token={_JWT} end": (r"token=\S{8018} end", 1),
