@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
-from ..plans.prefix import ranked, top_per_group
+from ..plans.prefix import ranked, ranked_between, top_per_group
 
 MAX_PAGE_SIZE = 100
 
@@ -36,6 +36,12 @@ def top_candidates(matches: DataFrame, k: int = 10, sort_by: str | None = None)
     return top_per_group(matches, ["job_id"], ranking_order(sort_by), k)
 
 
+def ranking_page(matches: DataFrame, page: int, page_size: int = 20, sort_by: str | None = None) -> DataFrame:
+    """One page of every job's ranking, sought by counts: a deep page costs what the first one does."""
+    first, last = page_bounds(page, page_size)
+    return ranked_between(matches, ["job_id"], _levels(sort_by), "candidate_id", first, last)
+
+
 def load_rankings(
     matches: DataFrame,
     candidates: DataFrame,

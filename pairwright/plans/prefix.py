@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 #: Id ranges that close the order: at most 65,536 ids per leaf and, for ids below
 #: 2**48, at most 65,536 ranges per level.
 ID_RANGES = {"_range32": 32, "_range16": 16}
@@ -87,6 +89,48 @@ def ranked(
     )
 
 
+def ranked_between(
+    df: DataFrame,
+    keys: Sequence[str],
+    levels: Sequence[Level],
+    id_column: str,
+    first: int,
+    last: int,
+    out: str = "rank",
+) -> DataFrame:
+    """The rows at positions ``first`` to ``last`` of each group, in the order of :func:`ranked`.
+
+    The place is sought in counts, one level after the other: only values whose positions
+    overlap the range are looked into at the next level. The data then meets the few leaves
+    found, so a page costs the same however deep it lies, and only its leaves are ordered.
+    Groups with fewer rows than ``first`` and an empty table give no rows.
+    """
+    keyed = df.withColumns(
+        {name: F.shiftright(F.col(id_column), bits) for name, bits in ID_RANGES.items()}
+    )
+    order = [*levels, *[(name, "asc") for name in ID_RANGES]]
+    names = [name for name, _ in order]
+    leaf = written(
+        df.sparkSession, keyed.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n")), "leaf-counts"
+    )
+    found = None
+    for depth, level in enumerate(order):
+        parent, path = [*keys, *names[:depth]], [*keys, *names[: depth + 1]]
+        counts = leaf.groupBy(*path).agg(F.sum("_n").alias("_n"))
+        counts = counts.withColumn("_up", F.lit(0)) if found is None else counts.join(found, parent)
+        window = Window.partitionBy(*parent).orderBy(_order(level)).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.col("_up") + F.coalesce(F.sum("_n").over(window), F.lit(0)))
+        overlaps = (F.col("_before") < last) & (F.col("_before") + F.col("_n") >= first)
+        found = counts.where(overlaps).select(*path, F.col("_before").alias("_up"))
+    within = Window.partitionBy(*keys, *names).orderBy(id_column)
+    return (
+        keyed.join(found, [*keys, *names])
+        .withColumn(out, (F.col("_up") + F.row_number().over(within)).cast("bigint"))
+        .where(F.col(out).between(first, last))
+        .drop(*ID_RANGES, "_up")
+    )
+
+
 def positions(df: DataFrame, id_column: str, out: str = "position") -> DataFrame:
     """Add a dense 0-based position by ascending unique id over the whole table."""
     numbered = ranked(df, [], [], id_column, out)

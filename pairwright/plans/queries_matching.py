@@ -116,6 +116,16 @@ def compute_match_weights_per_job(spark, d):
     return t.scored(spark, d, weights).select("job_id", "candidate_id", "overall_score")
 
 
+@query(o.with_matches(
+    f"""SELECT job_id, candidate_id, {SQL_SCORES}, CAST(rank AS BIGINT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY experience_score DESC, overall_score DESC, candidate_id)
+        AS rank FROM matches) WHERE rank BETWEEN 41 AND 60"""))
+def deep_ranking_page(spark, d):
+    """Third page of every job's ranking by experience, where many candidates tie."""
+    page = rk.ranking_page(_stored(spark, d), page=3, page_size=20, sort_by="experience")
+    return page.select("job_id", "candidate_id", *SCORES, "rank")
+
+
 # -- evidence and explanations ------------------------------------------------
 _PCT = "CAST(CAST(round_even(({}) * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
 _YEARS = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"

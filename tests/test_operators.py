@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairwright import lexicon as lx
 from pairwright.operators import compare, evaluate as ev, features, learn, manage, matching, vectors, weights
-from pairwright.plans.prefix import positions, ranked
+from pairwright.plans.prefix import positions, ranked, ranked_between
 from pairwright.plans.containment import containing
 from pairwright.streaming.rate_limit import rate_limit_flags
 
@@ -125,3 +125,23 @@ def test_similarity_block_and_blobs(spark):
     assert back[0]["embedding"] == pytest.approx([0.6, 0.8])
     wrong = vectors.decode_embeddings(blobs, "b", 3).collect()
     assert {r["embedding_status"] for r in wrong} == {"wrong_dimension"}
+
+
+def test_pages_of_any_depth_make_up_the_ranking(spark):
+    """Ties, ids far apart, a hot group, a group shorter than the page, and no rows at all."""
+    rows = [(1, i * 70_000, (i * 7) % 5 / 4, (i * 3) % 4 / 4) for i in range(1, 120)]
+    rows += [(2, i, 0.5, 0.5) for i in range(3)] + [(3, 5_000_000_000 + i, 0.25, i % 2 / 2) for i in range(45)]
+    df = spark.createDataFrame(rows, "job_id long, candidate_id long, experience_score double, overall_score double")
+    levels = [("experience_score", "desc"), ("overall_score", "desc")]
+    order = lambda r: (-r[2], -r[3], r[1])
+    for first, last in ((1, 20), (41, 60), (110, 200), (500, 600)):
+        want = [
+            (job, k, r[1]) for job in (1, 2, 3)
+            for k, r in enumerate(sorted((r for r in rows if r[0] == job), key=order), 1) if first <= k <= last
+        ]
+        got = ranked_between(df, ["job_id"], levels, "candidate_id", first, last).collect()
+        assert sorted((r["job_id"], r["rank"], r["candidate_id"]) for r in got) == want
+    assert ranked_between(df.limit(0), ["job_id"], levels, "candidate_id", 1, 20).isEmpty()
+    whole = ranked_between(df, [], levels, "candidate_id", 30, 33)
+    want = sorted(rows, key=order)[29:33]
+    assert sorted((r["rank"], r["candidate_id"]) for r in whole.collect()) == [(30 + k, r[1]) for k, r in enumerate(want)]
