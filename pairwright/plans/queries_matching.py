@@ -13,6 +13,7 @@ from ..operators import ranking as rk
 from ..operators import weights as wt
 from ..functions.scores import score_band, score_tone
 from ..session import written
+from ..sources.tables import register_functions
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -126,6 +127,27 @@ def deep_ranking_page(spark, d):
     return page.select("job_id", "candidate_id", *SCORES, "rank")
 
 
+@query(o.with_matches(
+    """SELECT job_id, candidate_id, CAST(rank AS BIGINT) AS rank, experience_score AS experience,
+      CASE WHEN overall_score >= 0.85 THEN 'excellent' WHEN overall_score >= 0.7 THEN 'strong'
+        WHEN overall_score >= 0.55 THEN 'moderate' WHEN overall_score >= 0.4 THEN 'weak' ELSE 'poor' END AS band
+    FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall_score DESC, candidate_id) AS rank
+      FROM matches) WHERE rank <= 5"""))
+def best_matches_in_sql(spark, d):
+    """The registered functions, called from SQL text only."""
+    scored = t.scored(spark, d).select(
+        "job_id", "candidate_id", "overall_score", "experience_years", "experience_required_years"
+    )
+    written(spark, scored, "matches").createOrReplaceTempView("scored_matches")
+    register_functions(spark, "scored_matches")
+    return spark.sql(
+        """SELECT b.job_id, b.candidate_id, CAST(b.rank AS BIGINT) AS rank,
+          experience_coverage(s.experience_years, s.experience_required_years) AS experience,
+          score_band(b.overall_score) AS band
+        FROM best_matches(5) b JOIN scored_matches s ON b.job_id = s.job_id AND b.candidate_id = s.candidate_id"""
+    )
+
+
 # -- evidence and explanations ------------------------------------------------
 _PCT = "CAST(CAST(round_even(({}) * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
 _YEARS = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"

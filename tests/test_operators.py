@@ -7,6 +7,7 @@ from pairwright import lexicon as lx
 from pairwright.operators import compare, evaluate as ev, features, learn, manage, matching, vectors, weights
 from pairwright.plans.prefix import positions, ranked, ranked_between
 from pairwright.plans.containment import containing
+from pairwright.sources.tables import register_functions
 from pairwright.streaming.rate_limit import rate_limit_flags
 
 
@@ -145,3 +146,14 @@ def test_pages_of_any_depth_make_up_the_ranking(spark):
     whole = ranked_between(df, [], levels, "candidate_id", 30, 33)
     want = sorted(rows, key=order)[29:33]
     assert sorted((r["rank"], r["candidate_id"]) for r in whole.collect()) == [(30 + k, r[1]) for k, r in enumerate(want)]
+
+
+def test_functions_called_from_sql(spark):
+    register_functions(spark)
+    row = spark.sql(
+        """SELECT score_band(0.85D) a, score_band(0.1D) b, experience_coverage(3D, 4D) c, experience_coverage(9D, 4D) d,
+          experience_coverage(1D, 0D) e, cosine(array(1F, 0F), array(1F, 1F)) f, cosine(array(0F), array(1F)) g,
+          cosine(array(1F), array(1F, 2F)) h, cosine(null, array(1F)) i"""
+    ).first()
+    assert tuple(row)[:5] == ("excellent", "poor", 0.75, 1.0, 0.0)
+    assert abs(row.f - 0.5**0.5) < 1e-9 and (row.g, row.h, row.i) == (0.0, 0.0, 0.0)
