@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -142,6 +143,17 @@ LOST = {
         "A title of some forty characters, no more\nShort one\n" + ("Long text of it. " * 20).strip(),
     f"<div><h1>A title of some forty characters, no more</h1></div><article>{_P}</article><div>Beside it</div>":
         f"A title of some forty characters, no more\n{_T}",
+    # names that do not tell what the element holds
+    f"<body class='has-sidebar'>{_P}{_P}": f"{_T}\n{_T}",
+    f"<div class='legal'>{_P}{_P}</div>": f"{_T}\n{_T}",
+    f"<nav>menu</nav><div class='legal'><div id=widget>{_P}{_P}</div></div><footer>foot</footer>": f"{_T}\n{_T}",
+    f"<main><section class='related-work'>{_P}</section>{_P}</main>": f"{_T}\n{_T}",
+    f"<article><p class='no-comment'>He had no comment.</p>{_P}</article>": f"He had no comment.\n{_T}",
+    # and names that do
+    f"<article>{_P}</article><div class='related-posts'>{_P}</div><div class='cookie-banner'>We use them.</div><section id=comments>{_P}</section>": _T,
+    f"<article>{_P}<ul class='share-links'><li>Send it</ul><div class='comment-list'><div class='comment' id='comment-7'>{_P}</div></div></article>": _T,
+    f"<nav>menu</nav><article></article><div class=comments>{_P}</div>": "",
+    f"<div class=sidebar>{_P}</div><div>{_P * 3}</div><div class=comments>{_P}</div>": "\n".join([_T] * 3),
 }
 
 
@@ -156,6 +168,20 @@ def test_long_page_is_whole():
     assert html_text.main_text(page) == "\n".join([words] + ["line"] * 3000)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000, "<div>x" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<i>" * 100_000 + "</u>" * 100_000,
+        "<head><svg>" + "<g>" * 100_000 + "</svg>x", "<div>" * 100_000 + "<p>x</p>" * 100_000, "<svg>" * 100_000 + "x",
+    ],
+    ids=range(7),
+)
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    assert html_text.main_text(page).count("x") == page.count("x")
+    assert time.process_time() - start < 10
+
+
 def test_minimum_cut_against_all_cuts():
     draw = random.Random(3)
     for _ in range(60):
