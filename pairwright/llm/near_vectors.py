@@ -78,12 +78,13 @@ def cosine_components(
     different length. ``n_links`` counts the other vectors linked directly,
     ``component_id`` is the smallest id reachable by links, ``kept`` marks that vector.
 
-    Equal vectors of a label are one node with a weight. Keys of random hyperplane signs
+    Equal vectors of a label are one node with a weight, named by a hash of both. Keys of random hyperplane signs
     in several tables (:func:`hash_plan`) bring candidates together; keys held by one
     node vanish before vectors are sent. Large keys are dealt into blocks of ``tile``
     rows and every pair of blocks is a tile, so no task holds more than two blocks. Tiles
     verify exactly and return a count and a link to the tile's component per row, never
-    pairs. An id on several rows of one label is one vector; a null id links with nothing.
+    pairs. Rows with the same id, label and vector are one vector; an id with several vectors or
+    labels has a row each, with the links and the component of that vector. A null id links with nothing.
     """
     label = F.lit(0) if label_column is None else F.col(label_column)
     source = vectors.select(
@@ -93,50 +94,64 @@ def cosine_components(
     total = source.count()
     bits, tables = hash_plan(total, cosine, recall)
 
+    def usable_vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+        """Row numbers, vectors and nodes of the usable rows, by length of the vector."""
+        column, labels = batch.column(2), batch.column(1).to_pylist()
+        lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+        values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        named = np.asarray(batch.column(0).is_valid()) & np.asarray(batch.column(1).is_valid())
+        for dimension in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero((lengths == dimension) & named)
+            x = values[starts[at][:, None] + np.arange(dimension)] + 0.0
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            at, x = at[good], x[good]
+            yield at, x, [
+                xxhash.xxh3_64_intdigest(labels[i].encode() + b"\0" + row.tobytes()) - (1 << 63) for i, row in zip(at, x)
+            ]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
-            lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
-            flat = column.flatten()
-            values = np.asarray(flat.to_numpy(zero_copy_only=False), float)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
             node: list[int | None] = [None] * batch.num_rows
             keys: list[list[int] | None] = [None] * batch.num_rows
-            for dimension in np.unique(lengths[lengths > 0]):
-                at = np.flatnonzero(lengths == dimension)
-                x = values[starts[at][:, None] + np.arange(dimension)]
-                with np.errstate(all="ignore"):
-                    top = np.abs(x).max(1, keepdims=True)
-                    unit = x / np.where(top > 0, top, 1)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                good = np.isfinite(x).all(1) & (top[:, 0] > 0)
-                found = sign_keys(np.where(good[:, None], unit, 0), bits, tables, seed)
-                for k, i in enumerate(at):
-                    if good[k]:
-                        node[i] = xxhash.xxh3_64_intdigest((x[k] + 0.0).tobytes()) - (1 << 63)
-                        keys[i] = found[k].tolist()
+            for at, x, nodes_here in usable_vectors(batch):
+                unit = x / np.abs(x).max(1, keepdims=True)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                for i, own_node, own_keys in zip(at, nodes_here, sign_keys(unit, bits, tables, seed)):
+                    node[i], keys[i] = own_node, own_keys.tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["vec", "label", "node", "keys"],
             )
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = np.zeros(batch.num_rows, np.int64)
+            kept = np.zeros(batch.num_rows, bool)
+            for at, _, nodes_here in usable_vectors(batch):
+                node[at], kept[at] = nodes_here, True
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(node), batch.column(2)], names=["vec", "node", "vector"]
+            ).filter(pa.array(kept))
+
     signed = materialize(
         source.mapInArrow(sign, "vec long, label string, node long, keys array<long>"), "signed-vectors"
     )
-    usable = signed.where("vec is not null and label is not null and node is not null")
+    usable = signed.where("node is not null")
     nodes = materialize(
         usable.select("vec", "label", "node").distinct().groupBy("label", "node")
         .agg(F.min("vec").alias("rep"), F.count("*").alias("weight")),
         "nodes",
     )
-    own = usable.join(nodes, ["label", "node"]).where("vec = rep").dropDuplicates(["vec", "label"])
-    keyed = own.select("vec", "label", "weight", F.posexplode("keys").alias("table", "key"))
+    # rows of one id and node are equal, so it does not matter which of them stays
+    own = usable.join(nodes, ["label", "node"]).where("vec = rep").dropDuplicates(["node"])
+    keyed = own.select("node", "vec", "label", "weight", F.posexplode("keys").alias("table", "key"))
     groups = materialize(
         keyed.groupBy("label", "table", "key").agg(F.count("*").alias("rows")).where("rows > 1")
         .select("label", "table", "key", F.ceil(F.col("rows") / tile).cast("int").alias("blocks")),
         "shared-keys",
     )
-    block = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.concat(
         F.transform(F.sequence(F.lit(0), block), lambda i: F.struct(i.alias("i"), block.alias("j"))),
         F.transform(
@@ -146,24 +161,25 @@ def cosine_components(
     )
     placed = (
         keyed.join(groups, ["label", "table", "key"])
-        .select("vec", "label", "weight", "table", "key", block.alias("block"), F.explode(pairs).alias("t"))
+        .select("node", "vec", "label", "weight", "table", "key", block.alias("block"), F.explode(pairs).alias("t"))
         .select(
-            "vec", "label", "weight", "table",
+            "node", "vec", "weight", "table",
             F.xxhash64("label", "table", "key", "t.i", "t.j").alias("tile"),
             F.when(F.col("t.i") == F.col("t.j"), 2).when(F.col("block") == F.col("t.i"), 0).otherwise(1).alias("side"),
         )
     )
     by_vector = materialize(
-        placed.groupBy("vec", "label").agg(
+        placed.groupBy("node", "vec").agg(
             F.first("weight").alias("weight"), F.collect_list(F.struct("table", "tile", "side")).alias("tiles")
         ),
         "placed-vectors",
     )
     sent = (
-        by_vector.join(own.select("vec", "label", "keys"), ["vec", "label"])
-        .join(source.dropDuplicates(["vec", "label"]), ["vec", "label"])
-        .select("vec", "weight", "keys", "vector", F.explode("tiles").alias("t"))
-        .select("t.tile", "t.table", "t.side", "vec", "weight", "keys", "vector")
+        by_vector.join(own.select("node", "keys"), "node")
+        .join(source.mapInArrow(name, "vec long, node long, vector array<double>"), ["node", "vec"])
+        .dropDuplicates(["node"])
+        .select("node", "weight", "keys", "vector", F.explode("tiles").alias("t"))
+        .select("t.tile", "t.table", "t.side", "node", "weight", "keys", "vector")
     )
 
     def linked(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,7 +191,7 @@ def cosine_components(
         count, root = tile_neighbours(unit, keys, weight, int(table[0]), side, cosine)
         at = np.flatnonzero((count > 0) | (root != np.arange(len(ids))))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[at]), pa.array(count[at]), pa.array(ids[root[at]])], names=["vec", "links", "hub"]
+            [pa.array(ids[at]), pa.array(count[at]), pa.array(ids[root[at]])], names=["node", "links", "hub"]
         )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,23 +212,26 @@ def cosine_components(
 
     found = materialize(
         sent.withColumn("dimension", F.size("vector"))
-        .repartition("tile", "dimension").sortWithinPartitions("tile", "table", "dimension", "vec").drop("dimension")
-        .mapInArrow(compare, "vec long, links long, hub long"),
+        .repartition("tile", "dimension").sortWithinPartitions("tile", "table", "dimension", "node").drop("dimension")
+        .mapInArrow(compare, "node long, links long, hub long"),
         "vector-links",
     )
-    components = connected_components(found.select(F.col("vec").alias("a"), F.col("hub").alias("b")))
+    components = materialize(
+        connected_components(found.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "components"
+    )
+    least = components.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("least"))
     resolved = (
-        nodes.join(found.groupBy(F.col("vec").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+        .join(components.join(least, "component").select("node", "least"), "node", "left")
         .select(
-            "label", "node",
+            "node",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("least", "rep").alias("component_id"),
         )
     )
     resolved = materialize(resolved, "resolved-nodes")
     return (
-        signed.join(resolved, ["label", "node"], "left")
+        signed.join(resolved, "node", "left")
         .select(
             F.col("vec").alias(id_column),
             F.when(F.col("vec").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),

@@ -163,6 +163,34 @@ def test_near_vectors(spark):
     assert near_vectors.cosine_components(frame.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    """An id under two labels or with several vectors has a row for each; equal rows are one vector."""
+    a, near, other = [1.0, 0.0, 0.1], [1.0, 0.05, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (2, near, 0), (1, a, 1), (3, near, 1), (4, near, 1), (5, a, 0), (5, other, 0), (6, other, 0)]
+    rows += [(7, other, 1), (7, other, 1), (8, other, 1), (None, a, 0), (9, a, None), (10, other, 2), (10, near, 2)]
+    vectors = sorted({(i, tuple(v), lab) for i, v, lab in rows if i is not None and lab is not None})
+
+    def linked(x, y):
+        u, v = np.array(x[1]), np.array(y[1])
+        return x[2] == y[2] and u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.93
+
+    pairs = [(x, y) for k, x in enumerate(vectors) for y in vectors[:k] if linked(x, y)]
+    root = components(vectors, pairs)
+    least = {}
+    for v in vectors:
+        least[root[v]] = min(least.get(root[v], v[0]), v[0])
+    expected = []
+    for i, v, lab in rows:
+        x = (i, tuple(v), lab)
+        if x in root:
+            expected.append((i, sum(x in p for p in pairs), least[root[x]], i == least[root[x]]))
+        else:
+            expected.append((i, 0, i, True))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [tuple(r) for r in near_vectors.cosine_components(frame.repartition(3), tile=2).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_keys_meet_the_recall():
     draw = np.random.default_rng(9)
     bits, tables = near_vectors.hash_plan(50_000, 0.93, 0.9999)
