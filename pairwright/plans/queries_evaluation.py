@@ -199,9 +199,9 @@ def features(spark, d) -> DataFrame:
     both = jobs.select((-F.col("job_id") - 1).alias("doc"), "text").unionByName(
         cands.select(F.col("candidate_id").alias("doc"), "text")
     )
-    weights = vc.tfidf_weights(both, "doc", "text")
-    left = weights.where("doc < 0").select((-F.col("doc") - 1).alias("job_id"), "term", "weight")
-    right = weights.where("doc >= 0").select(F.col("doc").alias("candidate_id"), "term", "weight")
+    vectors = vc.sparse_vectors(vc.tfidf_weights(both, "doc", "text"), "doc")
+    left = vectors.where("doc < 0").select((-F.col("doc") - 1).alias("job_id"), "terms", "weights")
+    right = vectors.where("doc >= 0").select(F.col("doc").alias("candidate_id"), "terms", "weights")
     pairs = scored.select("job_id", "candidate_id")
     tfidf = vc.tfidf_cosine(pairs, left, right, "job_id", "candidate_id")
     segment = F.element_at(F.array(*[F.lit(s) for s in t.DEGREES]), (F.col("job_id") % 5 + 1).cast("int"))
@@ -343,11 +343,11 @@ def hashing_embed(spark, d):
 def tfidf_cosine(spark, d):
     """Similarity of each conversation turn with the next one."""
     turns = t.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
-    weights = vc.tfidf_weights(turns, "doc", "text")
+    vectors = vc.sparse_vectors(vc.tfidf_weights(turns, "doc", "text"), "doc")
     pairs = turns.select(F.col("doc").alias("left_doc"), (F.col("doc") + 1).alias("right_doc")).join(
         turns.select(F.col("doc").alias("right_doc")), "right_doc", "left_semi"
     )
     out = vc.tfidf_cosine(
-        pairs, weights.withColumnRenamed("doc", "left_doc"), weights.withColumnRenamed("doc", "right_doc"), "left_doc", "right_doc"
+        pairs, vectors.withColumnRenamed("doc", "left_doc"), vectors.withColumnRenamed("doc", "right_doc"), "left_doc", "right_doc"
     )
     return out.select("left_doc", "right_doc", F.round("tfidf_cosine", 6).alias("tfidf_cosine"))

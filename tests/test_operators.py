@@ -128,6 +128,48 @@ def test_similarity_block_and_blobs(spark):
     assert {r["embedding_status"] for r in wrong} == {"wrong_dimension"}
 
 
+def test_sparse_cosines_against_all_terms(spark):
+    """Repeated pairs stay, strangers and nulls are 0, long and empty texts meet, further columns pass by."""
+    words = ["ash", "birch", "cedar", "elm", "fir", "oak", "pine", "yew"]
+    texts = {k: " ".join(words[(k * j + j * j) % 8] for j in range(k % 7)) for k in range(30)}
+    texts[30] = " ".join(words[i % 8] + str(i % 4000) for i in range(20_000))
+    texts[31], texts[32] = texts[30] + " oak", None
+    docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc long, text string, terms string")
+    weights = vectors.tfidf_weights(docs, "doc", "text", min_df=2)
+    held = {}
+    for r in weights.collect():
+        held.setdefault(r["doc"], {})[r["term"]] = r["weight"]
+    pairs = [(a, b, a * 100 + b) for a in range(33) for b in (0, 1, 9, 17, 30, 31, 32)] + [(9, 9, 1), (9, 9, 1), (None, 3, 2), (3, 999, 3)]
+    frame = spark.createDataFrame(pairs, "job long, person long, weights long")
+    found = vectors.sparse_vectors(weights, "doc")
+    out = vectors.tfidf_cosine(
+        frame, found.withColumnRenamed("doc", "job"), found.withColumnRenamed("doc", "person"), "job", "person"
+    )
+    assert out.columns == ["job", "person", "weights", "tfidf_cosine"]
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = []
+    for a, b, w in pairs:
+        u, v = held.get(a, {}), held.get(b, {})
+        want.append((a, b, w, min(1.0, sum(x * v.get(t, 0.0) for t, x in u.items()))))
+    want.sort(key=lambda r: str(r[:3]))
+    got.sort(key=lambda r: str(r[:3]))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+    assert sum(r[3] > 0 for r in got) > 50
+    nothing = vectors.sparse_vectors(weights.limit(0), "doc")
+    none = vectors.tfidf_cosine(
+        frame, nothing.withColumnRenamed("doc", "job"), nothing.withColumnRenamed("doc", "person"), "job", "person"
+    )
+    assert {r["tfidf_cosine"] for r in none.collect()} == {0.0}
+
+
+def test_cells_are_put_in_their_places(spark):
+    cells = spark.createDataFrame([(1, 0, 0.5), (1, 3, -1.0), (2, 2, 2.0)], "k long, bucket long, value double")
+    got = {r["k"]: r["embedding"] for r in vectors.densify(cells, "k", 4).collect()}
+    assert got == {1: [0.5, 0.0, 0.0, -1.0], 2: [0.0, 0.0, 2.0, 0.0]}
+    assert vectors.densify(cells.limit(0), "k", 4).count() == 0
+
+
 def test_pages_of_any_depth_make_up_the_ranking(spark):
     """Ties, ids far apart, a hot group, a group shorter than the page, and no rows at all."""
     rows = [(1, i * 70_000, (i * 7) % 5 / 4, (i * 3) % 4 / 4) for i in range(1, 120)]
