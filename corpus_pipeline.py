@@ -14,22 +14,36 @@ SURROGATE_KEY = "a key of the corpus owner"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject.
+
+    Each row is judged by itself, repeated ids and rows without one too; a null text is judged as an
+    empty one. Without documents or labels of both classes nothing is fitted.
+    """
     return cotraining.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that with the largest id; null and empty texts are one group.
+
+    Of rows with the same id and text one stays, and so of copies without any id.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 of five-word shingles, that with the smallest id.
+
+    Null and empty texts, texts without words and rows without id are linked with nothing and stay.
+    Rows are dropped by id, which ``documents`` holds once.
+    """
     return jaccard.drop_near_copies(docs, jaccard.JaccardSpec(words=5, share=80, over=100))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in place of personal data; ``n_chars`` follows the text."""
+    """All documents, with surrogates in place of personal data; ``n_chars`` follows the text.
+
+    Null texts stay null; every row stays, repeated ones too.
+    """
     replaced = surrogates.replace_personal_data(docs, SURROGATE_KEY).select(docs.columns)
     if "n_chars" not in docs.columns:
         return replaced
@@ -39,7 +53,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1,024 tokens, with their ids."""
+    """Pieces of all documents in sequences of 1,024 tokens, with their ids; a null text is the end id alone.
+
+    An empty table has no pieces; further columns are not read.
+    """
     return packing.pack_documents(
         docs,
         public_tokenizers.path("byte_bpe_50k.json"),
