@@ -226,3 +226,30 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert all(rows[4][i] == rows[3][i] for i in clean)
     pieces = tables[5].groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("tokens")).collect()
     assert {r.doc_id for r in pieces} == set(rows[4]) and all(r.n == r.tokens for r in pieces)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Null ids, texts and labels, repeated rows, columns with the names that stages use, and no rows at all."""
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long, 1), (1, long, 1), (2, long + " end", 2), (3, None, None), (4, "", 0), (None, "no id", 5), (5, "mail a.b@example.org", 20)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", None, n, "label", 0.5, "row", "digest") for i, t, n in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, label string, score double, row string, digest string",
+    )
+    spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [
+        ("quality", [None, 1, 1, 2, 3, 4, 5]), ("exact_dedup", [None, 1, 2, 4, 5]), ("near_dedup", [None, 1, 4, 5]),
+        ("personal_data", [None, 1, 4, 5]),
+    ]
+    table, empty = docs, docs.limit(0)
+    for (name, stage), (expected, ids) in zip(corpus_pipeline.STAGES, kept):
+        assert name == expected
+        found = stage(spark, table, str(tmp_path))
+        assert found.columns == docs.columns
+        table = spark.createDataFrame(found.collect(), docs.schema)
+        assert sorted((r.doc_id for r in table.collect()), key=lambda i: i or 0) == ids
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert not [r for r in table.collect() if "a.b@" in r.text]
+    pack = corpus_pipeline.STAGES[4][1]
+    assert {r.doc_id for r in pack(spark, table, str(tmp_path)).collect()} == {None, 1, 4, 5}
+    assert pack(spark, empty, str(tmp_path)).count() == 0
