@@ -199,3 +199,33 @@ def test_functions_called_from_sql(spark):
     ).first()
     assert tuple(row)[:5] == ("excellent", "poor", 0.75, 1.0, 0.0)
     assert abs(row.f - 0.5**0.5) < 1e-9 and (row.g, row.h, row.i) == (0.0, 0.0, 0.0)
+
+
+def test_scored_pairs_are_not_sorted_or_dealt_with_both_profiles(spark):
+    """Only one shuffle carries a profile, in few parts and in order of jobs; repeated and null keys join as before."""
+    jobs = matching.job_profiles(spark.createDataFrame(
+        [(j, f"job {j}", None, 1.0, ["sql"], [], []) for j in (1, 2, 2, 3)],
+        "job_id bigint, title string, education_required string, experience_required_years double, "
+        "required_skills array<string>, preferred_skills array<string>, certifications array<string>",
+    ))
+    people = matching.candidate_profiles(
+        spark.createDataFrame(
+            [(c, 2.0, 1.0, None, []) for c in (10, 11, 11, None)],
+            "candidate_id bigint, total_experience_years double, relevant_experience_years double, "
+            "highest_degree string, certifications array<string>",
+        ),
+        spark.createDataFrame(
+            [(10, "sql", 0.9, 1.0, ["seen"])],
+            "candidate_id bigint, normalized_name string, confidence double, years_experience double, evidence array<string>",
+        ),
+    )
+    pairs = spark.createDataFrame(
+        [(1, 10), (1, 10), (2, 10), (2, 11), (3, None), (None, 10), (9, 10)], "job_id bigint, candidate_id int"
+    )
+    scored = matching.score_pairs(pairs, jobs, people)
+    got = sorted(tuple(r) for r in scored.select("job_id", "candidate_id", "required_skills_score").collect())
+    assert got == [(1, 10, 0.9), (1, 10, 0.9), (2, 10, 0.9), (2, 10, 0.9), *[(2, 11, 0.0)] * 4]
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "ShuffledHashJoin" in joins[0] and "candidate_id" in joins[0], plan
+    assert "SortMergeJoin [job_id" in joins[1], plan
