@@ -1,5 +1,6 @@
 """Hand-checked values for parsers and column functions."""
 
+import datetime as dt
 import random
 import re
 
@@ -173,3 +174,37 @@ def test_months_of_two_digits(spark):
     assert [(r["start"], r["end"]) if r else None for r in got[:3]] == [
         (m(1999, 3), m(2001, 12)), (m(2001, 10), m(2001, 12)), (m(2001, 1), m(2001, 11)),
     ]
+
+
+def test_documents_are_dealt_to_every_core_however_short(spark):
+    """Adaptive execution joined parts of few bytes, and one task parsed them all."""
+    from pairwright.plans.driver_tables import spread
+
+    dealt = spread(spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a line").alias("text")))
+    parts = dealt.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= spark.sparkContext.defaultParallelism
+
+
+def test_history_is_computed_once_a_document(spark, tmp_path):
+    """An inner generator had the whole parse computed again in a filter below it."""
+    from pairwright.plans import driver_tables as t
+    from pairwright.plans.catalog import QUERIES
+
+    for name, row in {
+        "customer": (7, "Customer#7", 3, 1.0, "BUILDING"),
+        "orders": (20, 7, "F", 10.0, dt.datetime(1999, 3, 5), "1-URGENT"),
+    }.items():
+        spark.createDataFrame([row], t.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = QUERIES["employment_history"](spark, str(tmp_path))
+    assert not re.search(r"Filter .*size\(", out._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (20, "Data Engineer", "Acme Works", 3, False, 2), (20, "Intern", "Beta Labs", 23, False, 0),
+    ]
+
+
+def test_matching_form_equals_replacing_what_is_between(spark):
+    texts = ["", " ", "C++ & C# / .NET", "--a--", "Über  straße\n№ 5 ﬁn", "ΟΔΟΣ x", "́e", "ａ＋b", None]
+    want = F.coalesce(F.trim(F.regexp_replace(
+        F.replace(F.lower(tx.fold_accents(F.col("t"))), F.lit("&"), F.lit(" and ")), r"[^a-z0-9+#.]+", " ")), F.lit(""))
+    rows = spark.createDataFrame([(v,) for v in texts], "t string").select(tx.normalize_text("t").alias("got"), want.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
