@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pairwright import lexicon as lx
 from pairwright.operators import compare, evaluate as ev, features, learn, manage, matching, vectors, weights
+from pairwright.plans import prefix
 from pairwright.plans.prefix import positions, ranked, ranked_between
 from pairwright.plans.containment import containing
 from pairwright.sources.tables import register_functions
@@ -52,6 +53,28 @@ def test_rank_of_one_hot_group_matches_a_plain_sort(spark):
     assert got == want
 
 
+def test_ranks_of_small_and_large_groups(spark, monkeypatch):
+    """Small groups take one shuffle; larger ones are dealt by levels; both give the plain order, nulls have none."""
+    rows = spark.createDataFrame(
+        [(k % 7 if k % 7 < 4 else 3, (k * 31 % 13) / 13, k * 70_001) for k in range(900)]
+        + [(None, 0.5, 1), (1, None, 2), (1, 0.5, None)], "g int, s double, id bigint",
+    )
+    levels = [("s", "desc")]
+    known = [r for r in rows.collect() if None not in tuple(r)]
+    want, seen = {}, {}
+    for r in sorted(known, key=lambda r: (-r.s, r.id)):
+        seen[r.g] = seen.get(r.g, 0) + 1
+        want[r.g, r.id] = seen[r.g]
+    small = ranked(rows, ["g"], levels, "id")
+    assert small._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(prefix, "ORDERED_AT_ONCE", 200)
+    assert max(seen.values()) > 200 > min(seen.values())
+    for found in (small, ranked(rows, ["g"], levels, "id")):
+        assert found.columns == ["g", "s", "id", "rank"]
+        got = [((r.g, r.id), r["rank"]) for r in found.collect()]
+        assert len(got) == len(known) and dict(got) == want
+
+
 def test_positions_are_dense(spark):
     df = spark.createDataFrame([(5,), (10**13,), (7,), (70_000,)], "id bigint")
     assert [r["p"] for r in positions(df, "id", "p").orderBy("id").collect()] == [0, 1, 2, 3]
