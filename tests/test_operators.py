@@ -252,3 +252,19 @@ def test_scored_pairs_are_not_sorted_or_dealt_with_both_profiles(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "ShuffledHashJoin" in joins[0] and "candidate_id" in joins[0], plan
     assert "SortMergeJoin [job_id" in joins[1], plan
+
+
+
+
+
+def test_profiles_are_dealt_in_few_parts(spark):
+    """A job's rows must lie side by side in a part, or its profile is shuffled once a pair."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for partitions in (100, 600):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            found.append(matching._candidate_parts(spark.range(1)))
+        assert found == [40, 98]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
