@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright import lexicon as lx
-from pairwright.operators import compare, evaluate as ev, features, learn, manage, matching, vectors, weights
+from pairwright.operators import compare, evaluate as ev, explain, features, learn, manage, matching, vectors, weights
 from pairwright.plans import prefix
 from pairwright.plans.prefix import positions, ranked, ranked_between
 from pairwright.plans.containment import containing
@@ -254,6 +254,41 @@ def test_scored_pairs_are_not_sorted_or_dealt_with_both_profiles(spark):
     assert "SortMergeJoin [job_id" in joins[1], plan
 
 
+def test_evidence_is_written_in_flat_rows(spark):
+    """Texts are made behind the explode, so a reader of the status alone never makes them."""
+    jobs = matching.job_profiles(spark.createDataFrame(
+        [(1, "job", "Bachelor of Science", 4.0, ["sql", "go"], ["python"], ["AWS Cert"])],
+        "job_id bigint, title string, education_required string, experience_required_years double, "
+        "required_skills array<string>, preferred_skills array<string>, certifications array<string>",
+    ))
+    people = matching.candidate_profiles(
+        spark.createDataFrame(
+            [(1, 3.0, 2.0, "BSc", ["AWS Cert 2020"])],
+            "candidate_id bigint, total_experience_years double, relevant_experience_years double, "
+            "highest_degree string, certifications array<string>",
+        ),
+        spark.createDataFrame(
+            [(1, "sql", 0.9, 1.5, ["seen"]), (1, "python", 0.5, None, [])],
+            "candidate_id bigint, normalized_name string, confidence double, years_experience double, evidence array<string>",
+        ),
+    )
+    rows = explain.evidence_rows(
+        matching.score_pairs(spark.createDataFrame([(1, 1)], "job_id bigint, candidate_id bigint"), jobs, people)
+    )
+    assert rows.columns == [
+        "job_id", "candidate_id", "position", "component", "label", "detail", "status", "weight", "snippet"
+    ]
+    assert [tuple(r)[2:] for r in rows.orderBy("position").collect()] == [
+        (0, "required_skills", "sql", "Found in the resume (confidence 90%), ~1.5 years claimed", "matched", 0.45, "seen"),
+        (1, "required_skills", "go", "No evidence of this skill was found in the resume", "missing", 0.0, None),
+        (2, "preferred_skills", "python", "Mentioned in the resume with low confidence (50%); treat as unconfirmed", "weak", 0.5, None),
+        (3, "certifications", "AWS Cert", "Found in the resume (confidence 90%)", "matched", 1.0, "Listed in the candidate's certifications"),
+        (4, "experience", "Experience", "Meets approximately 50% of the required experience", "weak", 0.2, None),
+        (5, "education", "Education", "Highest qualification meets or exceeds the requirement", "matched", 0.15, None),
+    ]
+    plan = rows.select("status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Found in the resume" not in plan and "Found in the resume" in rows._jdf.queryExecution().optimizedPlan().toString()
+
 
 
 
