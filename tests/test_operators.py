@@ -290,6 +290,16 @@ def test_evidence_is_written_in_flat_rows(spark):
     assert "Found in the resume" not in plan and "Found in the resume" in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_hashed_in_parts_of_bounded_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "a loaf of rye " * 20) for k in range(4)] + [(5, None)], "k bigint, text string")
+    whole = sorted(tuple(r) for r in vectors.hashing_embed(docs, "k", "text").collect())
+    monkeypatch.setattr(vectors, "_PART_CHARS", 50)
+    cut = vectors.hashing_embed(docs, "k", "text")
+    assert "RoundRobin" not in (plan := cut._jdf.queryExecution().executedPlan().toString())
+    assert "23), REPARTITION_BY_NUM" in plan, plan
+    assert [r[:2] for r in whole] == [r[:2] for r in sorted(tuple(r) for r in cut.collect())]
+    assert len(whole) == 4 * len({r[1] for r in whole})
+
 
 
 def test_profiles_are_dealt_in_few_parts(spark):
