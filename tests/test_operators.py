@@ -1,10 +1,11 @@
 """Hand-checked metrics, skew-safe ranks, limits and guards."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright import lexicon as lx
-from pairwright.operators import compare, evaluate as ev, explain, features, learn, manage, matching, vectors, weights
+from pairwright.operators import catalogue, compare, evaluate as ev, explain, features, learn, manage, matching, vectors, weights
 from pairwright.plans import prefix
 from pairwright.plans.prefix import positions, ranked, ranked_between
 from pairwright.plans.containment import containing
@@ -301,6 +302,15 @@ def test_texts_are_hashed_in_parts_of_bounded_size(spark, monkeypatch):
     assert len(whole) == 4 * len({r[1] for r in whole})
 
 
+def test_mentions_leave_a_task_in_bounded_lists():
+    automaton = catalogue._Automaton([("rye", "rye"), ("oat", "oat")])
+    texts = pa.array(["rye oat " * 10, "", "oat rye"])
+    parts = list(automaton.parts(texts, most=4))
+    assert [len(p) for p in parts] == [4] * 5 + [2]
+    assert [hit for p in parts for hit in p] == [
+        (row, *hit) for row, t in enumerate(texts.to_pylist()) for hit in automaton.mentions(t)
+    ]
+
 
 def test_profiles_are_dealt_in_few_parts(spark):
     """A job's rows must lie side by side in a part, or its profile is shuffled once a pair."""
