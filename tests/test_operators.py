@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright import lexicon as lx
+from pairwright.functions.scores import dot
 from pairwright.operators import catalogue, compare, evaluate as ev, explain, features, learn, manage, matching, vectors, weights
 from pairwright.plans import prefix
 from pairwright.plans.prefix import positions, ranked, ranked_between
@@ -323,3 +324,56 @@ def test_profiles_are_dealt_in_few_parts(spark):
         assert found == [40, 98]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_scores_read_no_evidence_and_sort_no_skills(spark):
+    """Scores take confidences alone; lists and vectors longer than what is written out give the same figures."""
+    held = {f"s{i}": (i % 10) / 10 for i in range(0, 20, 2)}
+    sizes = (0, 1, 8, 9, 20)
+    jobs = matching.job_profiles(
+        spark.createDataFrame(
+            [(n, "job", None, 0.0, [f"s{i}" for i in range(n)], None, ["s2", "s3", "s4"]) for n in sizes],
+            "job_id bigint, title string, education_required string, experience_required_years double, "
+            "required_skills array<string>, preferred_skills array<string>, certifications array<string>",
+        )
+    )
+    people = matching.candidate_profiles(
+        spark.createDataFrame(
+            [(1, 3.0, 2.0, "BSc", [])],
+            "candidate_id bigint, total_experience_years double, relevant_experience_years double, "
+            "highest_degree string, certifications array<string>",
+        ),
+        spark.createDataFrame(
+            [(1, s, c, 1.0, [f"seen {s}"]) for s, c in held.items()]
+            + [(1, "s2", 0.1, 9.0, ["worse"]), (1, "s3", None, 9.0, ["unknown"])],
+            "candidate_id bigint, normalized_name string, confidence double, years_experience double, evidence array<string>",
+        ),
+    )
+    pairs = spark.createDataFrame([(n, 1) for n in sizes], "job_id bigint, candidate_id bigint")
+    scored = matching.score_pairs(pairs, jobs, people)
+    rows = {r["job_id"]: r for r in scored.collect()}
+    for n in sizes:
+        total = sum(held.get(f"s{i}", 0.0) for i in range(n))
+        assert rows[n]["required_skills_score"] == (round(total / n, 4) if n else 0.0)
+        assert sum(m["contribution"] for m in rows[n]["required_matches"]) == pytest.approx(total)
+        assert rows[n]["certifications_score"] == 0.6667
+    second = rows[20]["required_matches"]
+    assert (second[2]["evidence"], second[2]["years_experience"]) == ("seen s2", 1.0)
+    assert (second[3]["status"], second[3]["evidence"]) == ("missing", None)
+
+    def plan(*columns):
+        return scored.select(*columns)._jdf.queryExecution().sparkPlan().toString()
+
+    assert "max_by(evidence" not in plan("overall_score") and "SortAggregate" not in plan("overall_score")
+    assert "max_by(evidence" in plan("required_matches")
+
+
+@pytest.mark.parametrize("size", (1, 63, 64, 65))
+def test_products_of_vectors_are_added_in_order(spark, size):
+    a, b = [0.1 * (i + 1) for i in range(size)], [(-1.0) ** i / (i + 3) for i in range(size)]
+    gap = [None if i == size // 2 else x for i, x in enumerate(a)]
+    rows = spark.createDataFrame([(a, b), (gap, b)], "a array<double>, b array<double>")
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    assert [r[0] for r in rows.select(dot(F.col("a"), F.col("b"))).collect()] == [total, None]
