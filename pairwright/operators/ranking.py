@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..plans.prefix import ranked, ranked_between, top_per_group
+from ..session import written
 
 MAX_PAGE_SIZE = 100
+EXPORTED_PERSON = (
+    "candidate_id", "full_name", "email", "location", "current_title", "total_experience_years", "highest_degree", "shortlisted",
+)
+EXPORTED_SCORES = (*[f"{c}_score" for c in lx.COMPONENTS], "overall_score")
 
 
 def sort_field(sort_by: str | None) -> str:
@@ -92,6 +97,25 @@ def ranked_totals(matches: DataFrame, candidates: DataFrame, shortlisted_only: b
     )
 
 
+def _explained_rows(explained: DataFrame, texts: list[str], people: DataFrame, sort_by: str | None) -> DataFrame:
+    """:func:`load_rankings` of the scores in ``explained`` joined with its own ``texts``.
+
+    A pair that stands once meets only itself, so its row is taken as it is and written once; pairs
+    that repeat are joined.  Rows with a NULL key meet nothing.
+    """
+    spark, keys = explained.sparkSession, ["job_id", "candidate_id"]
+    live = people.where(~F.col("is_deleted"))
+    rows = explained.where(F.col("job_id").isNotNull()).join(live, "candidate_id")
+    rows = written(spark, rows, "explained-pairs")
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+    repeated = written(spark, repeated, "repeated-pairs")
+    if not repeated.isEmpty():
+        again = explained.join(repeated, keys, "left_semi")
+        both = again.drop(*texts).join(again.select(*keys, *texts), keys).join(live, "candidate_id")
+        rows = rows.join(repeated, keys, "left_anti").unionByName(both)
+    return rank_candidates(rows, sort_by)
+
+
 def export_rows(
     scored: DataFrame,
     explanations: DataFrame,
@@ -99,16 +123,26 @@ def export_rows(
     sort_by: str | None = None,
     include_explanation: bool = True,
 ) -> DataFrame:
-    """Flat export table of every job's ranking, lists joined with commas."""
+    """Flat export table of every job's ranking, lists joined with commas.
+
+    One frame given as ``scored`` and ``explanations`` holds both and is computed once.
+    """
     def joined(name: str) -> Column:
-        return F.array_join(F.col(f"explanation.{name}"), ", ").alias(name)
+        return F.array_join(F.col(f"explanation.{name}"), ", ")
 
-    rows = load_rankings(
-        scored.select("job_id", "candidate_id", *[f"{c}_score" for c in lx.COMPONENTS], "overall_score")
-        .join(explanations.select("job_id", "candidate_id", "explanation"), ["job_id", "candidate_id"]),
-        candidates,
-        sort_by,
-    )
+    # Only what is exported is carried, as the text it ends as.
+    keys = ["job_id", "candidate_id"]
+    texts = {"missing_required": joined("missing_required"), "weak_signals": joined("weak_signals")}
+    if include_explanation:
+        texts["explanation_summary"] = F.col("explanation.summary")
+        texts["matched_required"] = joined("strong_matches")
+    told = [text.alias(name) for name, text in texts.items()]
+    people = candidates.select(*EXPORTED_PERSON, "is_deleted")
+    if explanations is scored:
+        rows = _explained_rows(scored.select(*keys, *EXPORTED_SCORES, *told), list(texts), people, sort_by)
+    else:
+        both = scored.select(*keys, *EXPORTED_SCORES).join(explanations.select(*keys, *told), keys)
+        rows = load_rankings(both, people, sort_by)
     columns = [
         "job_id", "rank", "candidate_id", F.col("full_name").alias("name"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("email", "location", "current_title")],
@@ -117,12 +151,6 @@ def export_rows(
         "shortlisted",
         *[F.col(f"{c}_score").alias(c) for c in lx.COMPONENTS],
         "overall_score",
-        joined("missing_required"),
-        joined("weak_signals"),
+        *texts,
     ]
-    if include_explanation:
-        columns += [
-            F.col("explanation.summary").alias("explanation_summary"),
-            joined("strong_matches").alias("matched_required"),
-        ]
     return rows.select(*columns)
