@@ -11,6 +11,7 @@ from ..operators import explain as ex
 from ..operators import ranking as rk
 from ..operators import search as se
 from ..operators import vectors as vec
+from ..session import written
 from . import driver_tables as t
 from . import oracle_relations as o
 from .registry import query
@@ -243,10 +244,14 @@ def rk_rows(spark, d) -> DataFrame:
     WHERE r.rn <= 10""", "\n" + _QUESTIONS))
 def answer_missing_skills(spark, d):
     read = ai.read_questions(questions(spark, d), t.jobs(spark, d))
-    scored = t.scored(spark, d)
+    scores = ("required_skills_score", "overall_score")
+    told = F.struct("explanation.missing_required", "explanation.weak_signals").alias("explanation")
+    # Read for the ranks and for the texts of the best: scored once, written once.
+    explained = ex.explanations(t.scored_in_steps(spark, d), carry=scores).select("job_id", "candidate_id", *scores, told)
+    explained = written(spark, explained, "explained")
     names = t.candidates(spark, d).select("candidate_id", "full_name")
-    rankable = scored.select("job_id", "candidate_id", "required_skills_score", "overall_score").join(names, "candidate_id")
-    return ai.missing_answer(read, rankable, ex.explanations(scored)).select(
+    rankable = explained.select("job_id", "candidate_id", *scores).join(names, "candidate_id")
+    return ai.missing_answer(read, rankable, explained).select(
         "question_id", "job_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"),
         "missing_required", "weak_signals",
     )
