@@ -6,8 +6,12 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from pairwright.operators import extract as xt, manage as mg, matching as m, search as se, vectors as vec
-from pairwright.session import scratch_path
+from pairwright import lexicon as lx
+from pairwright.functions.columns import contains_any
+from pairwright.functions.text import normalize_text
+from pairwright.operators import extract as xt, features, manage as mg, matching, matching as m, ranking, search as se, vectors as vec
+from pairwright.plans import prefix
+from pairwright.session import scratch_path, written
 from pairwright.sources import files as fl
 from pairwright.streaming import rate_limit as rl
 
@@ -124,3 +128,71 @@ def test_stream_decides_in_order_of_time(spark, rocks_state):
     expected = plain_decisions(known, 2, 30)
     assert set(found) == {i for s, i in known if s <= 300}
     assert found == {i: expected[i] for i in found}
+
+
+def test_list_tests_hold_their_text_once(spark):
+    """A list test wrote its text once per word, so plans of resumes grew with the word lists."""
+    df = spark.createDataFrame([("node.js and c++",), ("nodexjs",), (None,)], "t string")
+    test = contains_any(normalize_text("t"), ["node.js", "c++"])
+    assert [r[0] for r in df.select(test).collect()] == [True, False, False]
+    assert df.select(test)._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert [r[0] for r in df.select(contains_any(F.col("t"), [])).collect()] == [False] * 3
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """Shuffle files of a written step lay beside those of the next one."""
+    root = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    df = spark.range(0, 100_000, 1, 4).repartition(7, "id").groupBy(F.col("id") % 100).count()
+    assert written(spark, df, "test").count() == 100
+    left = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    assert left - before < 4  # what the count itself shuffles is one row a task
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == root
+
+
+def test_one_frame_exported_equals_the_join(spark):
+    """Repeated pairs meet each other, once-only pairs themselves, NULL keys nothing."""
+    pairs = [(1, 1, 0.9), (1, 2, 0.8), (1, 2, 0.7), (2, 1, 0.6), (None, 1, 0.5), (2, None, 0.4), (2, 9, 0.3), (2, 3, 0.2)]
+    told = "struct<summary:string,strong_matches:array<string>,missing_required:array<string>,weak_signals:array<string>>"
+    rows = [(j, c, *[s] * 7, (f"{s}", [], ["a", "b"], [])) for j, c, s in pairs]
+    scores = ", ".join(f"{name} double" for name in ranking.EXPORTED_SCORES)
+    explained = spark.createDataFrame(rows, f"job_id bigint, candidate_id bigint, {scores}, explanation {told}")
+    people = spark.createDataFrame(
+        [(1, False), (2, False), (2, False), (3, True)], "candidate_id bigint, is_deleted boolean"
+    ).withColumns({c: F.lit("x") for c in ("full_name", "email", "location", "current_title", "highest_degree")}
+                  | {"total_experience_years": F.lit(1.0), "shortlisted": F.lit(True)})
+    texts = explained.select("job_id", "candidate_id", "explanation")
+    want = ranking.export_rows(explained, texts, people).collect()
+    got = ranking.export_rows(explained, explained, people).collect()
+    assert len(got) == 1 + 2 * 2 * 2 + 1
+    drop = lambda found: sorted(str({k: v for k, v in r.asDict().items() if k not in ("explanation_summary", "rank")}) for r in found)
+    assert drop(got) == drop(want)
+
+
+def test_batch_outcomes_of_repeats_and_nulls(spark):
+    kind = "job_id bigint, candidate_id bigint"
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, 3), (None, 1), (1, None)], kind)
+    scored = spark.createDataFrame([(1, 1), (1, 1), (7, 7), (1, None)], kind)
+    stored = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (8, 8)], kind)
+    got = {r["job_id"]: tuple(r)[1:] for r in matching.batch_outcomes(pairs, scored, stored).collect()}
+    assert got == {1: (4, 2, 2), None: (0, 0, 1)}
+
+
+def test_shallow_page_writes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0.5, i) for i in range(30)] + [(None, 0.5, 1), (1, None, 2)], "g bigint, s double, id bigint")
+    monkeypatch.setattr(prefix, "written", None)
+    got = prefix.ranked_between(df, ["g"], [("s", "desc")], "id", 11, 13).collect()
+    assert sorted((r["rank"], r["id"]) for r in got) == [(11, 10), (12, 11), (13, 12)]
+
+
+def test_features_are_joined_as_numbers(spark):
+    """Lists of matches were carried through three shuffles; numbers are taken as they are."""
+    keys = "job_id bigint, candidate_id bigint"
+    own = [f for f in lx.FEATURES if f not in ("tfidf_cosine", "candidate_text_length", "same_role_family")]
+    scored = spark.createDataFrame([(1, 2, *[0.5] * len(own))], keys + "".join(f", {f} double" for f in own))
+    out = features.feature_table(
+        scored, spark.createDataFrame([(1, 2, 3)], f"{keys}, relevance int"),
+        spark.createDataFrame([(1, 2, 0.25)], f"{keys}, tfidf_cosine double"),
+        spark.createDataFrame([(1, 2, "a b", "x", "x")], f"{keys}, candidate_text string, candidate_family string, job_family string"),
+    ).collect()[0]
+    assert (out["tfidf_cosine"], out["candidate_text_length"], out["same_role_family"], out["label"]) == (0.25, 2.0, 1.0, 1)
