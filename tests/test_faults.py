@@ -135,7 +135,7 @@ def test_list_tests_hold_their_text_once(spark):
     df = spark.createDataFrame([("node.js and c++",), ("nodexjs",), (None,)], "t string")
     test = contains_any(normalize_text("t"), ["node.js", "c++"])
     assert [r[0] for r in df.select(test).collect()] == [True, False, False]
-    assert df.select(test)._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert df.select(test.alias("x"))._jdf.queryExecution().analyzed().toString().count("[a-z0-9+#.]+") == 1
     assert [r[0] for r in df.select(contains_any(F.col("t"), [])).collect()] == [False] * 3
 
 
